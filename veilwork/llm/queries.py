@@ -1,17 +1,74 @@
-"""One query for each corpus operator, with production parameters over its whole table."""
+"""One query for each corpus operator, with production parameters over its whole table.
+
+`ORACLES` has DuckDB SQL where SQL can express the operator; the others are tested against brute
+force in tests/llm.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .store import table
+from .token_counts import token_counts
+from .token_files import token_files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def query(oracle: str = "") -> Callable:
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return add
+
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+@query()
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=512)
 
-ORACLES: dict[str, str] = {}
+
+_OP7 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_OP7}'), []) AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_OP7}'), []) AS ws FROM benchmark),
+p0 AS (SELECT item, ws, unnest(range(0, greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0),
+p AS (SELECT DISTINCT item, array_to_string(ws[i + 1 : i + 13], ' ') AS phrase, least(len(ws), 13) AS n FROM p0),
+n AS (SELECT DISTINCT n FROM p),
+o0 AS (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM d, n WHERE len(ws) >= n),
+o AS (SELECT doc_id, i, n, array_to_string(ws[i + 1 : i + n], ' ') AS phrase FROM o0),
+m AS (SELECT DISTINCT doc_id, i, o.n, item FROM o JOIN p USING (phrase)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("spans")
