@@ -12,13 +12,13 @@ agree on one of BANDS bands of ROWS coordinates share a bucket. At similarity 0.
 51 bands with probability (1 - 0.8^5)^51 = 1.6e-9.
 
 Verification. All-pairs work inside a bucket is avoided in two steps. First each class is compared
-with the least member of each of its buckets and linked classes are merged. Then, in buckets that
-still hold several components, the pairs between different components are compared; every candidate
-pair is thus either compared or already connected, so no component is lost, however large a group
-of copies is. Pairs are skipped without a comparison only if their sizes rule out the threshold
-(exact) or the sketches agree on less than `FLOOR` of the coordinates: for a pair at 0.8 that has
-probability below exp(-2 * 0.22^2 * 255) = 2e-11. All other pairs are confirmed on their full sets
-of 64-bit shingle hashes.
+with the least member of each of its buckets and linked classes are merged. Then the members of the
+buckets that still hold several components are compared across components, by an exact prefix filter:
+every set lists its shingles in one common order, rare ones first (any order is exact; the counts that
+make it good are kept in a table of fixed size), and two linked sets must share a shingle at places that
+leave room for the needed overlap. So a large group of copies whose members differ by more than the
+threshold costs a few candidates each, not a pair with every other, and no link is lost. All links are
+confirmed on full sets of 64-bit shingle hashes.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; rows with a null
 doc_id are kept, link with nothing and have a null component; rows that share a doc_id are one
@@ -40,7 +40,8 @@ from .store import discard, written
 from .textkernel import LOWER, NON_SPACE, PIECE_BYTES, mix64, pieces, span_hashes, sub_batches, word_bounds
 
 COORDS, ROWS, BANDS = 255, 5, 51
-FLOOR = 0.58
+#: Slots of the table of shingle counts.
+SLOTS = 1 << 18
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -122,13 +123,46 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(spread[0]), pa.array(spread[1])], ["bucket", "rep", "size"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sketch_a, sketch_b) -> the pairs whose sketches agree often enough."""
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.slice(at, 2000)
-            a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, COORDS) for k in (2, 3))
-            yield part.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= FLOOR))
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _U(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in sub_batches(batches, "text"):
+            for x in shingle_sets(batch.column(0), words):
+                np.add.at(counts, _slot(x), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
+
+    return run
+
+
+def _prefixes(words: int, percent: int, counts):
+    """(rep, size, label, text) -> a row for each shingle of the set's prefix, with its place in the common order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            tokens, spread, places = [], [], []
+            for k, x in enumerate(shingle_sets(batch.column(3), words)):
+                n = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
+                order = np.lexsort((x, counts.value[_slot(x)]))[:n]
+                tokens.append(x[order])
+                spread.append(np.full(len(order), k))
+                places.append(np.arange(len(order)))
+            pick = np.concatenate(spread)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(batch.column(c).to_numpy()[pick]) for c in range(3)), pa.array(np.concatenate(places).astype(np.int64))], ["bucket", "rep", "size", "label", "place"])
+
+    return run
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, label, ...) of buckets that hold several labels, with each bucket's commonest label as main."""
+    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1")
+    mixed = mixed.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"), F.lit(1).alias("one"))
+    return rows.join(mixed, (F.col("bucket") == F.col("k")) & (F.lit(1) == F.col("one"))).drop("k", "one")
 
 
 def _confirm(words: int, percent: int):
@@ -177,20 +211,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     in_play = joint.where("rep <> a").select(F.explode(F.array("rep", "a")).alias("rep")).distinct()
     texts = written(rows.join(in_play, F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
 
-    stars = joint.where("rep <> a").where(near).select("a", F.col("rep").alias("b")).distinct()
+    stars = written(joint.where("rep <> a").where(near).select("a", F.col("rep").alias("b")).distinct(), "stars")
     first = written(_verified(stars, texts, words, percent), "links")
     labels = components(first)
 
     named = joint.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
-    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1").select("bucket", F.col("top.label").alias("main"))
-    left = written(named.join(mixed, "bucket"), "mixed")
-    x = left.where("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_a"))
-    cross = left.join(x, "bucket").where("label <> label_x").where(near).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    drawn = reps.select("rep", "sketch")
-    cross = cross.join(drawn.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(drawn.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    likely = written(cross.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long").distinct(), "cross")
+    open_ = written(_mixed(named).select("rep", "size", "label").distinct().join(texts, "rep").select("rep", "size", "label", "text"), "open")
+    counts = np.zeros(SLOTS, np.int64)
+    drawn = open_.select("text").mapInArrow(_slot_counts(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts[drawn.column("slot").to_numpy()] = drawn.column("n").to_numpy()
+    counts = docs.sparkSession.sparkContext.broadcast(counts)
+    left = written(_mixed(open_.mapInArrow(_prefixes(words, percent, counts), "bucket long, rep long, size long, label long, place long")), "mixed")
+    x = left.where("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"), F.col("place").alias("place_x"))
+    room = f"{100 + percent} * least(size - place, size_x - place_x) >= {percent} * (size + size_x)"
+    cross = left.join(x, "bucket").where("label <> label_x").where(room).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+    likely = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     second = _verified(likely, texts, words, percent)
 
     final = components(first.union(second)).select(F.col("v").alias("rep"), "label")
@@ -198,5 +233,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     thin = facts.select("doc_id", "n_shingles", F.col("set_key").alias("key"), F.lit(1).alias("unit"))
     out = thin.join(named, (thin["key"] == named["set_key"]) & (thin["unit"] == named["one"]), "left")
     out = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    discard(facts, reps, joint, texts, first, left, likely)
+    discard(facts, reps, joint, texts, stars, first, open_, left, likely)
     return out
