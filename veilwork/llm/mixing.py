@@ -2,18 +2,20 @@
 
 Targets. Sources in code-point order (null last) take the weights in turn; all targets together are
 `share` times all sizes. A target stops at `most` times its source's size and the excess is shared
-again by weight. The level at which that settles is found in one pass over the sources sorted by the
-level each would need to reach its stop.
+again by weight. With the sources sorted by the level (target / weight) at which each stops, the first
+one that stays below its own stop gives the level at which all that settles.
 
 Sampling. Every document of a source expects target / source size copies. The expected copies are
 summed along the source's documents, one offset in [0, 1) is added, and a document is emitted once for
 each whole number that its stretch of the sum crosses: never more than `most` times, and a source's
 copies add up to its expectation, give or take one.
 
-Scale. The order of a source's documents is by a hash bucket, then size up or down in alternation, then
-doc_id: about sqrt(rows) buckets, so neither a bucket of the largest source nor the list of a source's
-buckets is large, and prefix sums are taken within buckets and over buckets, never over a whole source
-in one task. Everything derives from ids and the seed, so reruns and retries agree.
+Scale. The order of a source's documents is by size class (eight to a doubling), then by one of about
+sqrt(rows) / 8 hash buckets, then by size up or down in alternation, then doc_id. Neighbours are alike in
+size, so a source's taken words come near its target and not only its copies. Neither a bucket of the
+largest source nor the list of a source's buckets is large: prefix sums are taken within buckets and
+over buckets, never over a whole source in one task. Everything derives from ids, sizes and the seed,
+so reruns and retries agree.
 
 Defined cases: a null text has size 0; a source whose sizes are all 0 takes nothing; a null source is a
 source; rows that share an id are documents of their own, ordered by size; a null doc_id hashes
@@ -45,7 +47,9 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     w = w.withColumn("full", F.coalesce(F.sum("stop").over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     w = w.withColumn("open", F.sum("w").over(by_need.rowsBetween(0, Window.unboundedFollowing)))
     w = w.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.col("full")) / F.col("open"))
-    w = w.withColumn("settled", F.min(F.when(F.col("level") <= F.col("needs"), F.col("level"))).over(everything))
+    w = w.withColumn("pos", F.row_number().over(by_need))
+    first = F.min(F.when(F.col("level") <= F.col("needs"), F.struct("pos", "level"))).over(everything)
+    w = w.withColumn("settled", first["level"])
     target = F.least("stop", F.coalesce("settled", F.lit(float("inf"))) * F.col("w"))
     return w.select("source", "source_size", target.alias("target"))
 
@@ -57,9 +61,10 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     totals = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     totals = written(totals, "sources")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    buckets = int(n**0.5) + 1
-    bucket = F.pmod(_hex(F.col("doc_id"), 1, seed), F.lit(buckets))
-    rows = rows.withColumn("bucket", bucket).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    buckets = int(n**0.5) // 8 + 1
+    bits = F.length(F.bin("size"))
+    grade = bits * 8 + F.pmod(F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))"), F.lit(8))
+    rows = rows.withColumn("bucket", grade * buckets + F.pmod(_hex(F.col("doc_id"), 1, seed), F.lit(buckets))).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
 
     held = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
