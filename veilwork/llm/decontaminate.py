@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .textkernel import ALNUM, LOWER, char_counts, span_hashes, sub_batches, text_buffers, word_bounds
+from .textkernel import ALNUM, LOWER, char_counts, keep_rows, span_hashes, sub_batches, text_buffers, word_bounds
 
 SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
@@ -107,41 +107,40 @@ def _occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[
     return origin[index.locate(rows)], np.repeat(np.arange(len(n)), n)
 
 
-def _scan(blocks: list, percent_of_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", SHARD_BYTES):
-            data, off, starts, ends, at, hashes = _words(batch.column(1))
-            docs, cover = len(batch), np.zeros(len(hashes) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for block in blocks:
-                phrases = block.value
-                word, phrase = _occurrences(phrases, hashes, at)
-                np.add.at(cover, word, 1)
-                np.add.at(cover, word + phrases.lengths[phrase], -1)
-                doc = np.searchsorted(at, word, "right") - 1
-                for d, p in np.unique(np.stack([doc, phrase], axis=1), axis=0).tolist():
-                    items.setdefault(d, set()).update(phrases.items[p])
-            hit = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_words, n_hit = np.diff(at), np.diff(total[at])
-            edge = np.zeros(len(hashes) + 1, bool)
-            edge[at] = True
-            inner = ~edge[1 : len(hashes)] if len(hashes) else np.zeros(0, bool)
-            begin, stop = hit.copy(), hit.copy()
-            begin[1:] &= ~(hit[:-1] & inner)
-            stop[:-1] &= ~(hit[1:] & inner)
-            begin, stop = np.flatnonzero(begin), np.flatnonzero(stop)
-            chars = char_counts(data)
-            doc = np.searchsorted(at, begin, "right") - 1
-            spans = pa.StructArray.from_arrays([pa.array(chars[starts[begin]] - chars[off[doc]]), pa.array(chars[ends[stop]] - chars[off[doc]])], ["start", "end"])
-            names = [",".join(sorted(items.get(k, ()))) for k in range(docs)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(items.get(k, ())) for k in range(docs)], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), pa.array((n_hit > 0) & (percent_of_words * n_hit >= n_words)),
-                pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32()), spans),
-            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-    return run
+def _found(column: pa.Array, blocks: list, share: int) -> dict[str, pa.Array]:
+    data, off, starts, ends, at, hashes = _words(column)
+    docs, cover = len(column), np.zeros(len(hashes) + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    for block in blocks:
+        phrases = block.value
+        word, phrase = _occurrences(phrases, hashes, at)
+        np.add.at(cover, word, 1)
+        np.add.at(cover, word + phrases.lengths[phrase], -1)
+        doc = np.searchsorted(at, word, "right") - 1
+        for d, p in np.unique(np.stack([doc, phrase], axis=1), axis=0).tolist():
+            items.setdefault(d, set()).update(phrases.items[p])
+    hit = np.cumsum(cover[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_words, n_hit = np.diff(at), np.diff(total[at])
+    edge = np.zeros(len(hashes) + 1, bool)
+    edge[at] = True
+    inner = ~edge[1 : len(hashes)] if len(hashes) else np.zeros(0, bool)
+    begin, stop = hit.copy(), hit.copy()
+    begin[1:] &= ~(hit[:-1] & inner)
+    stop[:-1] &= ~(hit[1:] & inner)
+    begin, stop = np.flatnonzero(begin), np.flatnonzero(stop)
+    chars = char_counts(data)
+    doc = np.searchsorted(at, begin, "right") - 1
+    spans = pa.StructArray.from_arrays([pa.array(chars[starts[begin]] - chars[off[doc]]), pa.array(chars[ends[stop]] - chars[off[doc]])], ["start", "end"])
+    names = [",".join(sorted(items.get(k, ()))) for k in range(docs)]
+    return {
+        "n_words": pa.array(n_words),
+        "n_hit": pa.array(n_hit),
+        "n_items": pa.array([len(items.get(k, ())) for k in range(docs)], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()),
+        "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n_words)),
+        "spans": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32()), spans),
+    }
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -151,7 +150,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     items_sha256: of their ids, sorted as strings and joined by commas; contaminated: some word is hit
     and share * n_hit >= n_words; spans: the merged removal spans, in code points.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(phrase_blocks(benchmark, window), share), RESULT)
+    blocks = phrase_blocks(benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", SHARD_BYTES):
+            found = _found(batch.column(1), blocks, share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], ["doc_id", *found])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, without a shuffle."""
+    blocks = phrase_blocks(benchmark, window)
+    return keep_rows(docs, lambda column: ~_found(column, blocks, share)["contaminated"].to_numpy(zero_copy_only=False))
 
 
 def without_spans(text, spans):

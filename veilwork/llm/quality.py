@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import LOWER, NON_SPACE, char_counts, mix64, span_hashes, sub_batches, text_buffers, word_bounds
+from .textkernel import LOWER, NON_SPACE, char_counts, keep_rows, mix64, span_hashes, sub_batches, text_buffers, word_bounds
 
 SIZE = 1 << 15
 PER_CLASS, THRESHOLD = 1500, 0.5
@@ -178,17 +178,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return fit(index, value, y, weight, found.column("bucket").to_numpy()[order] == 0)
 
 
+def _judged(column: pa.Array, model: Model | None, threshold: float, least_words: int, repeat_percent: int) -> dict[str, np.ndarray]:
+    c = base_counts(column)
+    c["base_failed"] = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > repeat_percent * c["n_words"])
+    c["p_good"] = model.probabilities(column) if model else np.full(len(column), np.nan)
+    c["kept"] = ~c["base_failed"] & ((c["p_good"] >= threshold) if model else True)
+    return c
+
+
 def quality(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """docs (doc_id, text) -> base counts, base_failed, kept and p_good (null without a model); one row per input row."""
+    """docs (doc_id, text) -> base counts, base_failed, kept and p_good (NaN without a model); one row per input row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in sub_batches(batches, "text"):
-            c = base_counts(batch.column(1))
-            failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > repeat_percent * c["n_words"])
-            p = own.probabilities(batch.column(1)) if own else None
-            kept = ~failed & (p >= threshold) if own else ~failed
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(p) if own else pa.nulls(len(batch), pa.float64())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"])
+            c = _judged(batch.column(1), shared.value, threshold, least_words, repeat_percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[k] if c[k].dtype.kind in "bf" else c[k].astype(np.int64)) for k in names[1:])], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """The rows of docs that `quality` keeps, with all their columns, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda column: _judged(column, shared.value, threshold, least_words, repeat_percent)["kept"])

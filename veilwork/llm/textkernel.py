@@ -139,3 +139,13 @@ def sub_batches(batches: Iterator[pa.RecordBatch], name: str, limit: int = PIECE
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def keep_rows(docs, judge):
+    """The rows of a DataFrame whose text `judge` (a column -> a mask) accepts; all columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            yield batch.filter(pa.array(judge(batch.column(batch.schema.names.index("text")))))
+
+    return docs.mapInArrow(run, docs.schema)
