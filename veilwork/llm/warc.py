@@ -2,9 +2,10 @@
 
 Writing. A page becomes one WARC/1.1 record: a `response` with its payload, or a `revisit` that refers
 to the response with the same payload. Equal payloads of at least `least` bytes are found by digest and
-length; the one with the largest page_id is the response. The archives are plain WARC files: a record
+length; the one with the largest page_id is the response. The archives are WARC files: a record
 ends with CR LF CR LF, which is the line separator given to Spark's text writer, so the payload goes
-from column to file inside the JVM under Spark's commit protocol.
+from column to file inside the JVM under Spark's commit protocol. Files are gzipped as a whole; offsets
+count bytes of the archive inside.
 
 Reading. Archives are read as whole files (a file holds at most FILE_RECORDS records) and parsed by
 Content-Length. Each file gives a run of index lines sorted by URL key, timestamp and page.
@@ -22,6 +23,7 @@ empty archives; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -66,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn(F.col("origin")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n" + HTTP), F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -109,7 +111,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, raw in zip(batch.column(0), batch.column(1), strict=True):
             rows = []
-            for head, at, length, block in records(memoryview(raw.as_buffer()).tobytes()):
+            for head, at, length, block in records(gzip.decompress(raw.as_py())):
                 digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"])
                 if head["WARC-Type"] == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
