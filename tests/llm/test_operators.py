@@ -1,0 +1,267 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veilwork.llm.chat_format import digest_chats, escape, format_chats, parse, segments, unescape, verdict
+from veilwork.llm.components import components
+from veilwork.llm.decontaminate import contamination, keep_clean, without_spans
+from veilwork.llm.encode import encoder
+from veilwork.llm.licenses import inherit, own_licenses
+from veilwork.llm.mixing import mixed, mixing_report
+from veilwork.llm.near_dup import near_duplicates
+from veilwork.llm.quality import keep_good, quality, train
+from veilwork.llm.queries import vocabulary
+from veilwork.llm.secrets import Forest, features, labelled_findings, scan_secrets, train_forest
+from veilwork.llm.token_counts import token_counts
+from veilwork.llm.token_files import token_files
+from veilwork.llm.warc import archive_pages
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long"
+PROSE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix boxing gloves with five dozen liquor jugs and then walk home along a river bank"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0, False, 7) for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and blank texts, repeated rows and ids, a long text, clashing columns."""
+    rows = [(1, None, None), (2, "", "a"), (3, " \n\t", "a"), (4, PROSE, "b"), (4, PROSE, "b"), (5, PROSE.upper(), None), (None, PROSE, "a"), (6, PROSE + " again", "b"), (7, "x", "a"), (8, "long word " * 30_000, "b"), (4, "other", "b"), (9, "the dog <|endoftext|> # é 漢", "b")]
+    return docs(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_token_files(spark, odd, none):
+    tool, at = encoder(vocabulary()), 0
+    got = token_files(odd, vocabulary(), 2).orderBy("start").collect()
+    want = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert len(got) == len(want)
+    for g, (doc, text) in zip(got, want, strict=True):
+        ids = [*tool.raw([text or ""])[0], 2]
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert token_files(none, vocabulary(), 2).count() == 0
+
+
+def test_token_counts(odd, none):
+    tool = encoder(vocabulary())
+    want = [(r.doc_id, len((r.text or "").encode()), n := len(tool.raw([r.text or ""])[0]), n > 512) for r in odd.collect()]
+    assert rows(token_counts(odd, vocabulary())) == sorted(want, key=repr)
+    assert token_counts(none, vocabulary()).count() == 0
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(pairs, ids):
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if (label[a], label[b]) != (low, low):
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def test_components(spark):
+    edges = [(1, 2), (3, 2), (3, 3), (9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (20, 30)]
+    got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
+    assert got == brute_components(edges, {x for e in edges for x in e})
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(spark, odd, none):
+    r = np.random.default_rng(3)
+    base = [[f"w{x}" for x in r.integers(0, 400, 120)] for _ in range(4)]
+    made = []
+    for k in range(60):
+        w = list(base[k % 4])
+        for at in r.integers(0, 120, int(r.integers(0, 14))):
+            w[at] = f"z{r.integers(0, 9)}"
+        made.append((100 + k, " ".join(w), "a"))
+    got = near_duplicates(docs(spark, made), 2, 80).collect()
+    sets = {i: shingles(t, 2) for i, t, _ in made}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = brute_components(links, sets)
+    assert {g.doc_id: (g.n_shingles, g.component_id, g.kept) for g in got} == {i: (len(s), label[i], label[i] == i) for i, s in sets.items()}
+    assert 1 < len({*label.values()}) < 60
+    edge = near_duplicates(odd, 2, 80).collect()
+    assert len(edge) == 12
+    assert {g.component_id for g in edge if g.doc_id in (4, 5, 6)} == {4}
+    assert all(g.kept and g.component_id == g.doc_id and not g.n_shingles for g in edge if g.doc_id in (1, 2, 3))
+    assert all(g.kept and g.component_id is None for g in edge if g.doc_id is None)
+    assert near_duplicates(none, 2, 80).count() == 0
+
+
+def base_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    three = list(zip(w, w[1:], w[2:], strict=False))
+    often = Counter(three)
+    hit = {k + j for k, x in enumerate(three) if often[x] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len({*lines}), len(hit)
+
+
+def test_quality_counts(spark, odd, none):
+    more = docs(spark, [(20, "a b c\na b c\n\n \nx | y\na b c d a b", "a"), (21, "é #*$%&|<>\r\nq\r\nq", "a"), (22, "\n\n", "a")])
+    for r, g in zip(*(sorted(x, key=lambda r: (r.doc_id or -1, r[1] or "" if isinstance(r[1], str) else "")) for x in (more.collect(), quality(more, None).collect())), strict=True):
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == base_counts(r.text)
+    want = Counter((r.doc_id, *base_counts(r.text)) for r in odd.collect())
+    got = quality(odd, None).collect()
+    assert Counter((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) for g in got) == want
+    assert all(g.base_failed == (g.n_words < 50 or 100 * g.n_repeat_words > 50 * g.n_words) and g.kept == (not g.base_failed) for g in got)
+    assert quality(none, None).count() == 0
+    assert keep_good(odd, None, least_words=5).columns == odd.columns
+
+
+def test_quality_model_on_held_out_rows(spark):
+    r = np.random.default_rng(5)
+    good = lambda: " ".join(r.choice(PROSE.split(), 60))
+    bad = lambda: " | ".join(r.choice(["zxq", "qqw", "###", "vvk", "jjx"], 60))
+    made = [(i, good() if i % 3 else bad(), "a") for i in range(300)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)] + [(None, 1, 0), (3, None, 0)]
+    d = docs(spark, made)
+    model = train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = {g.doc_id: g.p_good for g in quality(d, model, repeat_percent=1000).collect() if g.doc_id >= 200}
+    assert np.mean([(p >= 0.5) == (i % 3 > 0) for i, p in held.items()]) > 0.97
+    assert train(d, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")) is None
+    assert train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
+
+
+def test_mixing(spark, odd, none):
+    r = np.random.default_rng(9)
+    made = [(i, "w " * int(r.integers(0, 40)), ["a", "b", "c", None][i % 4]) for i in range(400)] + [(900, None, "empty")]
+    d = docs(spark, made)
+    got = mixing_report(d).collect()
+    assert len(got) == 401 and rows(mixing_report(d)) == sorted(map(tuple, got), key=repr)
+    total = sum(g["size"] for g in got)
+    by = {g.doc_id: g for g in got}
+    source = {i: s for i, _, s in made}
+    targets = {source[i]: g.target for i, g in by.items()}
+    assert sum(targets.values()) == pytest.approx(1.5 * total)
+    for s, t in targets.items():
+        own = [g for i, g in by.items() if source[i] == s]
+        assert t <= 2 * own[0].source_size + 1e-9
+        assert sum(g.taken for g in own) == pytest.approx(t, abs=80)
+        assert all(g.taken in (0, g["size"], 2 * g["size"]) for g in own)
+    out = mixed(d).groupBy("doc_id").count().collect()
+    assert mixed(d).columns == d.columns
+    assert all(r["count"] * by[r.doc_id]["size"] == by[r.doc_id].taken for r in out)
+    assert mixing_report(odd).count() == 12 and mixing_report(none).count() == 0
+
+
+def brute_hits(text, phrases):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    w, hit, items = [m[0] for m in found], [False] * len(found), set()
+    for phrase, names in phrases.items():
+        for k in range(len(w) - len(phrase) + 1):
+            if tuple(w[k : k + len(phrase)]) == phrase:
+                items |= names
+                hit[k : k + len(phrase)] = [True] * len(phrase)
+    return len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def test_contamination(spark, odd, none):
+    bench = [(1, PROSE), (2, "seven wizards"), (None, "river bank"), (10, "..."), (11, None), (2, "seven wizards"), (12, "Five-dozen LIQUOR")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    phrases = {}
+    for item, text in bench:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        for k in range(max(1, len(w) - 12) if w else 0):
+            phrases.setdefault(tuple(w[k : k + 13]), set()).add("null" if item is None else str(item))
+    more = docs(spark, [(30, "A b " * 200 + "seven, WIZARDS! " + "c " * 9, "a"), (31, "seven wizards " * 50, "a"), (32, "seven\nwizards seven", "a")])
+    d = odd.unionByName(more)
+    got = contamination(d, b).collect()
+    assert Counter(tuple(g)[:6] for g in got) == Counter((r.doc_id, *(x := brute_hits(r.text, phrases)), x[1] > 0 and 20 * x[1] >= x[0]) for r in d.collect())
+    clean = keep_clean(d, b)
+    assert clean.columns == d.columns and clean.count() == sum(not g.contaminated for g in got)
+    cut = contamination(more, b).join(more.select("doc_id", "text"), "doc_id").select("doc_id", without_spans(F.col("text"), F.col("spans")).alias("t"))
+    assert {r.doc_id: r.t for r in cut.collect()}[32] == " seven"
+    assert contamination(none, b).count() == 0
+    assert contamination(more, b.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_archives(spark):
+    big = "<p>" + "x" * 1000 + "</p>"
+    made = [(1, "http://a.org/1", big), (2, "http://a.org/2", big), (9, "http://b.org/", big), (3, None, None), (4, "http://a.org/ \r\nX: y", "short"), (5, "u", "short"), (None, "u", big), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (7, "u", "é漢" * 400)]
+    pages = spark.createDataFrame([(*x, 1) for x in made], "page_id long, url string, html string, payload_bytes int")
+    index = archive_pages(pages)
+    got = index.collect()
+    assert [(r.url_key, r.captured) for r in got] == sorted((r.url_key, r.captured) for r in got)
+    best = {}
+    for p, _, html in made:
+        if len((html or "").encode()) >= 1000:
+            best[html] = max(best.get(html, -1), -1 if p is None else p)
+    for p, _, html in made:
+        raw = (html or "").encode()
+        r = next(x for x in got if x.page_id == p)
+        origin = best.get(html)
+        again = origin is not None and origin != p
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", origin) if again else ("response", None))
+    assert archive_pages(pages.limit(0)).count() == 0
+    assert archive_pages(pages.union(pages)).count() == 18
+
+
+def test_chats(spark):
+    nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<|", "<\\\\|", "", "a\n", "|", "<"]
+    assert all(unescape(escape(x)) == x and "<|" not in escape(x) for x in nasty)
+    turns = [("us\\er\n", x) for x in nasty] + [("assistant", x) for x in nasty]
+    assert parse("".join(t for t, _ in segments(turns))) == turns
+    assert verdict(["system", "user", "assistant"]) == "ok"
+    assert verdict(["user", "user"]) != "ok" and verdict([]) != "ok" and verdict(["user"]) != "ok"
+    made = [(1, 0, "user", "hi"), (1, 1, "assistant", nasty[0]), (1, None, None, None), (1, 1, "assistant", nasty[0]), (2, 5, "odd\nrole", "<|"), (None, 0, "assistant", "x")]
+    c = spark.createDataFrame([(*x, 1) for x in made], "conv_id long, turn long, role string, text string, verdict int")
+    got = {r.conv_id: r for r in digest_chats(format_chats(c)).collect()}
+    said = "\n\n" + "user\nhi\n" + f"assistant\n{nasty[0]}\n" * 2
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].n_turns == 4
+    assert got[1].loss_sha256 == hashlib.sha256((nasty[0] * 2).encode()).hexdigest() and got[1].loss_chars == 2 * len(nasty[0])
+    assert got[None].loss_chars == 1 and got[2].n_turns == 1
+    assert format_chats(c.limit(0)).count() == 0
+
+
+def test_secrets(spark, odd, none):
+    made = labelled_findings(1500, 11)
+    forest = train_forest(labelled_findings(1500, 12), trees=25)
+    score = forest.predict(np.array([features(v, b, p) for v, b, p, _ in made], float))
+    assert np.mean((score >= 0.5) == np.array([y for *_, y in made])) > 0.97
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    d = docs(spark, [(1, f'é token = "{key}" end', "src"), (2, f"sha1 digest {key}", "docs/lock"), (3, "x" * 200_000 + f' password: "{key}"', None)])
+    got = {r.doc_id: r for r in scan_secrets(d.withColumnRenamed("source", "path"), forest).collect()}
+    assert (got[1].start, got[1].end, got[1].secret, got[2].secret, got[3].secret) == (11, 51, True, False, True)
+    assert got[1].candidate_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    assert scan_secrets(odd.withColumnRenamed("source", "path"), forest).count() == 0
+    assert scan_secrets(none.withColumnRenamed("source", "path"), forest).count() == 0
+    assert Forest(trees=3).fit(np.zeros((9, 2)), np.ones(9)).predict(np.zeros((2, 2))).tolist() == [1, 1]
+
+
+def test_licenses(spark, odd, none):
+    made = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "d/y.py", "code"), (5, "a/z.py", "# This work is licensed under the GNU General Public License, version 3."), (6, None, "code"), (7, "top.py", None), (8, "a/q.py", ""), (8, "a/q.py", "")]
+    files = own_licenses(spark.createDataFrame(made, "doc_id long, path string, text string")).withColumn("is_license_file", F.col("path").endswith("LICENSE"))
+    got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in inherit(files).collect()}
+    assert got == {1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, None, None), 5: ("GPL-3.0", "GPL-3.0", None), 6: (None, None, None), 7: (None, None, None), 8: (None, "MIT", "a")}
+    assert inherit(files).count() == 9
+    for d, n in ((odd, 12), (none, 0)):
+        assert inherit(own_licenses(d.withColumnRenamed("source", "path")).withColumn("is_license_file", F.lit(False))).count() == n

@@ -167,17 +167,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
         for batch in sub_batches(sub_batches(batches, "text_b", PIECE_BYTES // 2), "text_a", PIECE_BYTES):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fresh = {}
-            for i, x in enumerate(a):
-                if x not in kept:
-                    fresh.setdefault(x, i)
-            kept = {x: kept[x] for x in set(a) if x in kept}  # no more than this batch needs
-            if fresh:
-                kept |= zip(fresh, shingle_sets(batch.column(2).take(pa.array(list(fresh.values()))), words), strict=True)
-            good = [linked(kept[x], y, percent) for x, y in zip(a, shingle_sets(batch.column(3), words), strict=True)]
+            own = batch.column(2).dictionary_encode()  # a star's centre stands in many rows
+            centres = list(shingle_sets(own.dictionary, words))
+            good = [linked(centres[k], y, percent) for k, y in zip(own.indices.to_pylist(), shingle_sets(batch.column(3), words), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run

@@ -2,7 +2,7 @@
 
 Each round counts the pairs of adjacent symbols in a block, gives the most frequent ones a new symbol
 (a nonterminal) each and replaces their occurrences from left to right without overlap; rounds repeat
-until no pair is frequent enough. Pairs never cross the end of a document, so each document is a run
+until no pair is frequent enough, at most `most_rounds` times (later rounds gain little). Pairs never cross the end of a document, so each document is a run
 of symbols. A block stores its rules, each nonterminal's expansion length, the symbols, and for each
 document its id, token count and symbol count; prefix sums over expansion lengths find any token
 without decoding what stands before it.
@@ -51,7 +51,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most_rounds: int = 5
         counts = np.bincount(slot[match], minlength=SLOTS)
         counts[0] = 0
         good = np.flatnonzero(counts >= least)
-        if len(good) * 4 < least:
+        if not len(good):
             break
         good = good[np.argsort(-counts[good], kind="stable")][:most_rules]
         chosen, number = names[good], np.full(SLOTS, -1, np.int32)
