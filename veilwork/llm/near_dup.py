@@ -100,7 +100,7 @@ def _summaries(words: int):
         for batch in sub_batches(batches, "text"):
             sets = list(shingle_sets(batch.column(1), words))
             full = [x for x in sets if len(x)]
-            lines = iter(sketches(full))
+            lines = (line for k in range(0, len(full), 500) for line in sketches(full[k : k + 500]))
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             drawn = [next(lines).tobytes() if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
