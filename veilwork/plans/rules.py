@@ -75,7 +75,7 @@ RULES = [
     Rule(16, "ipv6", "ip", 0.97, r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}(?![0-9a-f:])", test=v.valid_ipv6, guard=":[0-9a-fA-F]{0,4}:"),
     Rule(17, "postcode_nl", "postcode", 0.97, rf"(?iu)(?<![\d/.-]){EDGE}[1-9]\d{{3}}{WS}?[A-Z]{{2}}{EDGE}", guard=r"[1-9]\d{3}"),
     Rule(18, "bsn_label", "bsn", 0.995, rf"(?iu){EDGE}(?:bsn|burgerservicenummer|sofinummer)(?:{WS}+(?:on{WS}+file|is))?{WS}*[:=#-]?{WS}*(\d{{8,9}}){EDGE}", 1, test=v.valid_bsn, guard=r"\d{8}"),
-    Rule(21, "addr_num_first", "address", 0.93, rf"{EDGE}{HOUSE}{WS}*,?{WS}+(?:{PART}{WS}+){{1,5}}{STREET}{EDGE}", guard=rf"\d[^\r\n]*{STREET}"),
+    Rule(21, "addr_num_first", "address", 0.93, rf"{EDGE}{HOUSE}{WS}*,?{WS}+(?:{PART}{WS}+){{1,5}}{STREET}{EDGE}", guard=STREET),
     Rule(22, "addr_term_num", "address", 0.93, rf"{EDGE}(?:[A-Z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{DE}}][\p{{L}}\p{{M}}'\x{{2019}}.-]*{WS}+){{0,5}}{STREET}{WS}+{HOUSE}{EDGE}", guard=rf"{STREET}{WS}+\d"),
     Rule(23, "addr_nl_compound", "address", 0.94, rf"(?iu){EDGE}{PART}{COMPOUND}{WS}+\d{{1,5}}[A-Z]?(?:-[A-Z0-9]+)?{EDGE}", guard=rf"(?iu){COMPOUND}{WS}+\d"),
     Rule(24, "addr_nl_multi", "address", 0.96, rf"(?iu){EDGE}(?:{PART}{WS}+){{0,5}}{PART}{COMPOUND}{WS}+{HOUSE}{EDGE}", guard=rf"(?iu){COMPOUND}{WS}+\d"),
