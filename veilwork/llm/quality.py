@@ -147,13 +147,18 @@ def fit(index: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, weight:
         pos, neg = (k * t).sum(), (k * (1 - t)).sum()
         t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's smoothed targets
         k = k / (pos + neg)
-        for _ in range(50):
+        loss = lambda a, b: float((k * (np.logaddexp(0, a * x + b) - t * (a * x + b))).sum())
+        for _ in range(100):  # Newton steps, halved until the loss falls
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
             g = np.array([(k * (p - t) * x).sum(), (k * (p - t)).sum()])
             h = k * p * (1 - p)
-            hess = np.array([[(h * x * x).sum(), (h * x).sum()], [(h * x).sum(), h.sum()]]) + 1e-6 * np.eye(2)
-            step = np.linalg.solve(hess, g)
-            a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
+            step = np.linalg.solve(np.array([[(h * x * x).sum(), (h * x).sum()], [(h * x).sum(), h.sum()]]) + 1e-6 * np.eye(2), g)
+            now, size = loss(a, b), 1.0
+            while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) >= now:
+                size /= 2
+            if size <= 1e-6:
+                break
+            a, b = a - size * float(step[0]), b - size * float(step[1])
     return Model(w / spread * 0.05, bias, max(a, 1e-3), b)
 
 
