@@ -30,7 +30,7 @@ def docx(body="<w:p><w:r><w:t>Hello</w:t><w:tab/><w:t>Anna</w:t></w:r></w:p><w:p
 
 
 def test_names():
-    assert parse_names("﻿Class 4\nVoornaam;Tussenvoegsel;Achternaam\n\"An;na\";de;Vries\nAn\u0301a;;X\nAn\u0301a;;X\n;;\n") == [("An;na", "de Vries"), ("\u00c1na".replace("\u00c1", "A").replace("n", "\u0144", 1), "X")]
+    assert parse_names("﻿Class 4\nVoornaam;Tussenvoegsel;Achternaam\n\"An;na\";de;Vries\nAn\u0301a;;X\nAn\u0301a;;X\n;;\n") == [("An;na", "de Vries"), ("A\u0144a", "X")]
     assert parse_names("Jo,Smit\n\"A \"\"B\"\"\",C") == [("Jo", "Smit"), ('A "B"', "C")]
     assert parse_names("Full name\nJo Smit") == [("Jo Smit", "")] and parse_names(None) == [] and parse_names("  ") == []
     assert [c.value for c in cells('"a,b", c ,"d""e"', ",")] == ["a,b", "c", 'd"e']
