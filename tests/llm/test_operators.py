@@ -283,3 +283,14 @@ def test_secrets_of_any_shape(spark):
         hits = [r for r in got[k] if r.secret]
         assert [(r.start, r.end, r.candidate_sha256) for r in hits] == [(text.index(value), text.index(value) + len(value), hashlib.sha256(value.encode()).hexdigest())], (text, got[k])
     assert got[100] and not any(r.secret for k in (100, 101, 102, 103) for r in got.get(k, []))
+
+
+def test_whole_license_texts(spark):
+    from veilwork.llm.license_texts import WHOLE
+
+    made = [(k, f"{n}/notes/{k}", "Copyright (c) 2020 The Authors\n\n" + t) for k, (n, t) in enumerate(WHOLE.items())] + [(100 + k, f"{n}/notes/deep/x", "code") for k, n in enumerate(WHOLE)]
+    made += [(203, "c/LICENCE.md", "Released under the MIT License.\n" + "thanks " * 500), (204, "c/x", "code"), (205, "d/license.py", "# Released under the MIT License."), (206, "d/x", "code"), (207, "a/w", "code")]
+    got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in inherit(own_licenses(spark.createDataFrame(made, "doc_id long, path string, text string"))).collect()}
+    for k, n in enumerate(WHOLE):
+        assert got[k] == (n, n, None) and got[100 + k] == (None, n, f"{n}/notes")
+    assert got[204] == (None, "MIT", "c") and got[206] == got[207] == (None, None, None)

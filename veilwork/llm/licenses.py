@@ -1,9 +1,12 @@
 """License scanning: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of a text that speaks of a license is a header candidate. Its words and word pairs are
-weighted by term frequency times the templates' inverse document frequency (a term that no template
-has weighs as one that a single template has) and compared with each template by cosine; a document's
-own license is the best template over its lines, if it reaches `least`.
+Words and word pairs are weighted by term frequency times the templates' inverse document frequency (a
+term that no template has weighs as one that a single template has) and compared by cosine. A text as a
+whole is compared with whole license texts; the best is the document's own license if it reaches
+`least_whole`. Else every line that speaks of a license is compared with one-sentence notices; the best of all is the own license if it reaches `least`.
+
+A license file is one with the name of a license file, or one that as a whole reaches `least_whole` with a
+whole license text, whatever its length.
 
 Files without an own license take that of the nearest ancestor directory that has a license file.
 Directories are made distinct first, each is exploded into its ancestors and joined with the license
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import WHOLE
 from .textkernel import sub_batches
 
 # Short notices as they stand in files, by SPDX name.
@@ -40,8 +44,21 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+
+#: Standard headers of source files.
+HEADERS: dict[str, list[str]] = {}
 _KEY = re.compile(r"licen[cs]e", re.IGNORECASE)
+# Every whole text and header has one of these.
+_LEGAL = re.compile(r"licen[cs]e|permi(?:ssion|t)|redistribut|public domain|warrant", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+_MARK = re.compile(r"^[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*/|-->)[ \t\r]*$", re.IGNORECASE)
+#: Names of license files; source files with such a name are none.
+LICENSE_FILE = r"(?i)(?:^|/)(?!(?:[^/]*)\.(?:py|js|jsx|ts|tsx|go|rs|java|kt|scala|c|cc|cpp|cs|h|hpp|rb|php|swift|sh|json|ya?ml|xml|toml|css)$)(?:[^/]*[-_.])?(?:(?:un)?licen[cs]es?|copying|copyright)(?:[-_.][^/]*)?$"
+
+
+def unmarked(text: str) -> str:
+    """A text without the comment marks at the ends of its lines."""
+    return "\n".join(_MARK.sub("", line) for line in text.split("\n"))
 
 
 def terms(line: str) -> Counter:
@@ -56,6 +73,10 @@ class Templates:
         self.idf = {t: math.log((1 + len(drawn)) / (1 + n)) + 1 for t, n in seen.items()}
         self.rare = math.log((1 + len(drawn)) / 2) + 1
         self.vectors = [(name, len(t.split()), self._unit(terms(t))) for name in sorted(texts) for t in texts[name]]
+        self.holders: dict = {}
+        for k, (_, _, vector) in enumerate(self.vectors):
+            for t, w in vector.items():
+                self.holders.setdefault(t, []).append((k, w))
 
     def _unit(self, counts: Counter) -> dict:
         weights = {t: n * self.idf.get(t, self.rare) for t, n in counts.items()}
@@ -77,26 +98,58 @@ class Templates:
 
     def best(self, text: str | None) -> tuple[str | None, float]:
         top: tuple[str | None, float] = (None, 0.0)
-        for line in (text or "").split("\n") if _KEY.search(text or "") else ():
-            found = self.line(line) if _KEY.search(line) else top
+        lines = (text or "").split("\n") if _KEY.search(text or "") else []
+        for k in (k for k, line in enumerate(lines) if _KEY.search(line)):
+            found = self.line(lines[k])
             if found[1] > top[1]:
                 top = found
         return top
 
-
-def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
-    """files (doc_id, path, text) -> doc_id, path, own_license, similarity, n_chars (of the text)."""
+    def whole(self, text: str) -> tuple[str | None, float]:
+        """The best template for a text as a whole."""
+        own = self._unit(terms(text))
+        scores: dict[int, float] = {}
+        for t, w in own.items():
+            for k, v in self.holders.get(t, ()):
+                scores[k] = scores.get(k, 0.0) + w * v
+        found = [(-round(x, 6), self.vectors[k][0]) for k, x in scores.items()]
+        return (min(found)[1], -min(found)[0]) if found else (None, 0.0)
+
+
+class Judge:
+    """Own license, its similarity, and the similarity of a text as a whole to a whole license text."""
+
+    def __init__(self, notices: dict[str, list[str]], wholes: dict[str, str], headers: dict[str, list[str]], least: float, least_whole: float) -> None:
+        self.notices, self.least, self.least_whole = Templates(notices), least, least_whole
+        self.texts = Templates({n: [t] for n, t in wholes.items()})
+        self.both = Templates({n: [*([wholes[n]] if n in wholes else []), *headers.get(n, [])] for n in {*wholes, *headers}})
+
+    def __call__(self, text: str | None) -> tuple[str | None, float, float]:
+        if not _LEGAL.search(text or ""):
+            return None, 0.0, 0.0
+        plain = unmarked(text)
+        file = self.texts.whole(plain)
+        found = [self.both.whole(plain)]
+        best = max(found, key=lambda x: x[1])
+        if best[1] < self.least_whole:
+            best = max(best, self.notices.best(text), key=lambda x: x[1])
+        return best[0] if best[1] >= self.least else None, best[1], file[1]
+
+
+def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.6, wholes: dict[str, str] = WHOLE, headers: dict[str, list[str]] = HEADERS, least_whole: float = 0.75) -> DataFrame:
+    """files (doc_id, path, text) -> doc_id, path, own_license, similarity, is_license_file."""
+    shared = files.sparkSession.sparkContext.broadcast((templates, wholes, headers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Templates(templates)
+        judge = Judge(*shared.value, least, least_whole)
         for batch in sub_batches(batches, "text"):
-            found = [tool.best(t) for t in batch.column(2).to_pylist()]
-            found = [(n, s) if s >= least else (None, s) for n, s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), batch.column(3)], ["doc_id", "path", "own_license", "similarity", "n_chars"])
+            found = [judge(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())))], ["doc_id", "path", "own_license", "similarity", "as_text"])
 
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text", size.alias("n_chars"))
-    return rows.mapInArrow(run, "doc_id long, path string, own_license string, similarity double, n_chars long")
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
+    found = rows.mapInArrow(run, "doc_id long, path string, own_license string, similarity double, as_text double")
+    named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    return found.select("doc_id", "path", "own_license", "similarity", (named | (F.col("as_text") >= least_whole)).alias("is_license_file"))
 
 
 def inherit(files: DataFrame) -> DataFrame:
