@@ -289,8 +289,11 @@ def test_whole_license_texts(spark):
     from veilwork.llm.license_texts import WHOLE
 
     made = [(k, f"{n}/notes/{k}", "Copyright (c) 2020 The Authors\n\n" + t) for k, (n, t) in enumerate(WHOLE.items())] + [(100 + k, f"{n}/notes/deep/x", "code") for k, n in enumerate(WHOLE)]
-    made += [(203, "c/LICENCE.md", "Released under the MIT License.\n" + "thanks " * 500), (204, "c/x", "code"), (205, "d/license.py", "# Released under the MIT License."), (206, "d/x", "code"), (207, "a/w", "code")]
+    apache = "// Licensed under the Apache License, Version 2.0 (the\n// \"License\"); you may not use this file except in compliance\n// with the License. You may obtain a copy of the License at\n//   http://www.apache.org/licenses/LICENSE-2.0\nint main() { return 0; }\n" + "int x = 1;\n" * 300
+    mit = "/*\n" + "\n".join(" * " + x for x in WHOLE["MIT"].split("\n")) + "\n */\nint main() { return 0; }\n" + "int x = 1;\n" * 300
+    made += [(200, "a/x.c", apache), (201, "a/y.c", mit), (202, "b/z.py", "# Released under\n# the MIT License.\nx = 1"), (203, "c/LICENCE.md", "Released under the MIT License.\n" + "thanks " * 500), (204, "c/x", "code"), (205, "d/license.py", "# Released under the MIT License."), (206, "d/x", "code"), (207, "a/w", "code")]
     got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in inherit(own_licenses(spark.createDataFrame(made, "doc_id long, path string, text string"))).collect()}
     for k, n in enumerate(WHOLE):
         assert got[k] == (n, n, None) and got[100 + k] == (None, n, f"{n}/notes")
+    assert [got[k][0] for k in (200, 201, 202)] == ["Apache-2.0", "MIT", "MIT"]
     assert got[204] == (None, "MIT", "c") and got[206] == got[207] == (None, None, None)

@@ -2,8 +2,10 @@
 
 Words and word pairs are weighted by term frequency times the templates' inverse document frequency (a
 term that no template has weighs as one that a single template has) and compared by cosine. A text as a
-whole is compared with whole license texts; the best is the document's own license if it reaches
-`least_whole`. Else every line that speaks of a license is compared with one-sentence notices; the best of all is the own license if it reaches `least`.
+whole and its header block (the comment it begins with, without comment marks, else its first paragraph)
+are compared with whole license texts and standard headers; the best is the document's own license if it
+reaches `least_whole`. Else every stretch that speaks of a license, within its line and across the lines
+beside it, is compared with one-sentence notices; the best of all is the own license if it reaches `least`.
 
 A license file is one with the name of a license file, or one that as a whole reaches `least_whole` with a
 whole license text, whatever its length.
@@ -35,23 +37,44 @@ from .textkernel import sub_batches
 
 # Short notices as they stand in files, by SPDX name.
 TEMPLATES = {
+    "0BSD": ["Licensed under the Zero-Clause BSD License.", "SPDX-License-Identifier: 0BSD"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "Zlib": ["Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
 }
 
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General Public License along with this {0}."
 #: Standard headers of source files.
-HEADERS: dict[str, list[str]] = {}
+HEADERS = {
+    "AGPL-3.0": [_GNU.format("program", "Affero ", "3")],
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "GPL-2.0": [_GNU.format("program", "", "2")],
+    "GPL-3.0": [_GNU.format("program", "", "3")],
+    "LGPL-2.1": [_GNU.format("library", "Lesser ", "2.1")],
+    "LGPL-3.0": [_GNU.format("library", "Lesser ", "3")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
 _KEY = re.compile(r"licen[cs]e", re.IGNORECASE)
 # Every whole text and header has one of these.
 _LEGAL = re.compile(r"licen[cs]e|permi(?:ssion|t)|redistribut|public domain|warrant", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 _MARK = re.compile(r"^[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*/|-->)[ \t\r]*$", re.IGNORECASE)
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("{-", "-}"), ("(*", "*)"))
+_LINES = ("//", "#", "--", ";", "%", "dnl ", "rem ", "REM ", "*")
 #: Names of license files; source files with such a name are none.
 LICENSE_FILE = r"(?i)(?:^|/)(?!(?:[^/]*)\.(?:py|js|jsx|ts|tsx|go|rs|java|kt|scala|c|cc|cpp|cs|h|hpp|rb|php|swift|sh|json|ya?ml|xml|toml|css)$)(?:[^/]*[-_.])?(?:(?:un)?licen[cs]es?|copying|copyright)(?:[-_.][^/]*)?$"
 
@@ -61,6 +84,24 @@ def unmarked(text: str) -> str:
     return "\n".join(_MARK.sub("", line) for line in text.split("\n"))
 
 
+def header(text: str) -> str:
+    """The comment that a text begins with, blank and `#!` lines before it left out; else its first paragraph."""
+    text = re.sub(r"\A(?:[ \t\r]*\n|#![^\n]*\n|#[^\n]*coding[:=][^\n]*\n)+", "", text.lstrip("\ufeff")).lstrip()
+    for begin, end in _BLOCKS:
+        if text.startswith(begin):
+            stop = text.find(end, len(begin))
+            return text[len(begin) : stop if stop >= 0 else len(text)]
+    mark = next((m for m in _LINES if text.startswith(m)), None)
+    if mark is None:
+        return re.split(r"\n[ \t\r]*\n", text, maxsplit=1)[0]
+    lines = []
+    for line in text.split("\n"):
+        if line.strip() and not line.lstrip().startswith(mark.strip()):
+            break
+        lines.append(line)
+    return "\n".join(lines)
+
+
 def terms(line: str) -> Counter:
     words = _WORD.findall(line.lower())
     return Counter(words) + Counter(zip(words, words[1:], strict=False))
@@ -101,6 +142,9 @@ class Templates:
         lines = (text or "").split("\n") if _KEY.search(text or "") else []
         for k in (k for k, line in enumerate(lines) if _KEY.search(line)):
             found = self.line(lines[k])
+            if found[1] < 1 and len(lines) > 1:
+                near = self.line(" ".join(x.strip() for x in unmarked("\n".join(lines[max(0, k - 1) : k + 2])).split("\n")))
+                found = near if near[1] > found[1] else found
             if found[1] > top[1]:
                 top = found
         return top
@@ -129,7 +173,7 @@ class Judge:
             return None, 0.0, 0.0
         plain = unmarked(text)
         file = self.texts.whole(plain)
-        found = [self.both.whole(plain)]
+        found = [self.both.whole(plain), self.both.whole(unmarked(header(text)))]
         best = max(found, key=lambda x: x[1])
         if best[1] < self.least_whole:
             best = max(best, self.notices.best(text), key=lambda x: x[1])
