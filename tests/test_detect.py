@@ -57,6 +57,12 @@ def test_cases(found):
         assert all(s.start >= e for s, e in zip(got[i].spans, ends, strict=False))
 
 
+def test_ipv6_without_digits(spark):
+    texts = ["host fe::ab", "dead:beef::cafe", "at :: or d::", "a: b: c"]
+    got = detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s.value for s in r.spans if s.type == "ip"] for r in got] == [["fe::ab"], ["dead:beef::cafe"], ["::", "d::"], []]
+
+
 def test_codes_round_trip(found):
     text, spans, codes = F.coalesce("text", F.lit("")), F.col("spans"), F.col("codes")
     rows = found.withColumn("codes", code_table(text, spans)).withColumn("said", anonymize(text, spans, codes))

@@ -72,7 +72,7 @@ RULES = [
     Rule(13, "date_mdy_text", "date", 0.98, rf"(?iu){EDGE}{MONTH}\.?{WS}+\d{{1,2}}(?:st|nd|rd|th)?{WS}*,?{WS}*\d{{4}}{EDGE}", test=v.valid_month_day, guard=r"\d{4}"),
     Rule(14, "date_dob_label", "date", 0.99, rf"(?iu){EDGE}(?:dob|date{WS}+of{WS}+birth|birth{WS}+date|geboortedatum|geboren{WS}+op){WS}*[:=-]?{WS}*(\d{{1,2}}{SEP}\d{{1,2}}\2\d{{2}}(?:\d{{2}})?){EDGE}", 1, test=v.valid_birth_date, guard=r"\d[/.-]\d"),
     Rule(15, "ipv4", "ip", 0.99, r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", test=v.valid_ipv4, guard=r"\d\.\d"),
-    Rule(16, "ipv6", "ip", 0.97, r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}(?![0-9a-f:])", test=v.valid_ipv6, guard=":[0-9a-fA-F]{0,4}:"),
+    Rule(16, "ipv6", "ip", 0.97, r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}(?![0-9a-f:])", test=v.valid_ipv6, guard=":[0-9a-fA-F]{0,4}:", needs="colon"),
     Rule(17, "postcode_nl", "postcode", 0.97, rf"(?iu)(?<![\d/.-]){EDGE}[1-9]\d{{3}}{WS}?[A-Z]{{2}}{EDGE}", guard=r"[1-9]\d{3}"),
     Rule(18, "bsn_label", "bsn", 0.995, rf"(?iu){EDGE}(?:bsn|burgerservicenummer|sofinummer)(?:{WS}+(?:on{WS}+file|is))?{WS}*[:=#-]?{WS}*(\d{{8,9}}){EDGE}", 1, test=v.valid_bsn, guard=r"\d{8}"),
     Rule(21, "addr_num_first", "address", 0.93, rf"{EDGE}{HOUSE}{WS}*,?{WS}+(?:{PART}{WS}+){{1,5}}{STREET}{EDGE}", guard=STREET),
