@@ -107,6 +107,16 @@ def test_filename_lists(spark):
     assert [r[0] for r in df.select(filename_lines(df.t)).collect()] == ['File name: "a \\"b\\".pdf"\nFile name: "c\\\\d"', None]
 
 
+def test_long_filename_lists(spark):
+    from veilwork.sources.files import filename_error
+
+    names = [f"n{k}.pdf" for k in range(2500)]
+    df = spark.createDataFrame([("\n".join(names),), ("x" * 256,), (None,)], "t string")
+    got = df.select(filename_lines(df.t), filename_lines(df.t, 2499), filename_error(df.t, 2499), filename_error(df.t)).collect()
+    assert tuple(got[0]) == ("\n".join(f'File name: "{n}"' for n in names), None, "filename_list_limit", None)
+    assert tuple(got[1]) == (None, None, "filename_long", "filename_long") and got[2][0] is None
+
+
 def test_sessions(spark):
     rows = [(1, "s", "a@b.de x", [(0, 6, "email")]), (2, "s", "[[EMAIL_002]] c@d.de a@b.de", [(14, 20, "email"), (21, 27, "email")]), (3, "t", "c@d.de", [(0, 6, "email")]), (4, "t", None, [])]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, spans array<struct<start:int,end:int,type:string>>")

@@ -10,17 +10,29 @@ from pyspark.sql import functions as F
 
 from .office import EXTRACTORS, Failure, Limits, extract
 
-MOST_NAMES, MOST_NAME = 2000, 255
+MOST_NAME = 255
 PLAIN = ("txt", "csv", "tsv", "md")
 RESULT = "path string, text string, warnings array<string>, counts struct<slides:int,pages:int,sheets:int,hidden:int,notes:int,comments:int>, error_code string, error_category string, is_retryable boolean"
 
 
-def filename_lines(pasted: Column) -> Column:
-    """One `File name: "..."` line for each non-blank line; null if there are too many names or one is too long."""
-    names = F.filter(F.transform(F.split(pasted, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    quoted = F.transform(names, lambda x: F.concat(F.lit("File name: "), quote(x)))
-    fits = (F.size(names) <= MOST_NAMES) & F.forall(names, lambda x: F.length(x) <= MOST_NAME)
-    return F.when(fits, F.array_join(quoted, "\n"))
+def filename_lines(pasted: Column, most: int | None = None) -> Column:
+    """One `File name: "..."` line for each non-blank line; null if a name is too long, or if there are more names than `most`.
+
+    `filename_error` tells which. Without `most`, a list has no limit.
+    """
+    quoted = F.transform(_names(pasted), lambda x: F.concat(F.lit("File name: "), quote(x)))
+    return F.when(filename_error(pasted, most).isNull(), F.array_join(quoted, "\n"))
+
+
+def filename_error(pasted: Column, most: int | None = None) -> Column:
+    """Why `filename_lines` gives null: `filename_list_limit` (more names than `most`) or `filename_long`; null if it does not."""
+    names = _names(pasted)
+    long = F.when(F.exists(names, lambda x: F.length(x) > MOST_NAME), F.lit("filename_long"))
+    return long if most is None else F.when(F.size(names) > most, F.lit("filename_list_limit")).otherwise(long)
+
+
+def _names(pasted: Column) -> Column:
+    return F.filter(F.transform(F.split(pasted, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def quote(name: Column) -> Column:
