@@ -83,3 +83,21 @@ def test_token_files_hold_every_document(ran):
         ids = [*tool.raw([text or ""])[0], 2]
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_texts_that_share_an_id(spark):
+    """Id 5 has a text of its own and a copy of document 3's; only the copy goes, and in `near_duplicates` id 5 is one vertex."""
+    from corpus_pipeline import near_dedup
+    from veilwork.llm.near_dup import near_duplicates
+
+    other, copied = " ".join(f"alpha{k}" for k in range(40)), " ".join(f"beta{k}" for k in range(40))
+    more = [" ".join(f"gamma{n}x{k}" for k in range(40)) for n in range(4)]
+    made = [(3, copied, "a"), (5, other, "b"), (5, copied, "c"), (5, other, "b"), (6, other, "d"), *((7, t, "e") for t in more), (8, more[3], "e"), (9, None, "e"), (9, "", "e"), (None, copied, "e")]
+    d = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup(spark, d, "").collect()), key=str)
+    assert [sum(t == x for _, t in got) for x in (other, *more, copied)] == [1, 1, 1, 1, 1, 2]
+    assert (3, copied) in got and (None, copied) in got and len(got) == 9
+    labels = {}
+    for r in near_duplicates(d, 5, 80).where("doc_id is not null").collect():
+        labels.setdefault(r.doc_id, set()).add(r.component_id)
+    assert labels == {3: {3}, 5: {3}, 6: {3}, 7: {7}, 8: {7}, 9: {9}}

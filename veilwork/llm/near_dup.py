@@ -221,7 +221,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     likely = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     second = _verified(likely, texts, words, percent)
 
-    final = components(first.union(second)).select(F.col("v").alias("rep"), "label")
+    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("d"))
+    same = usable.join(several, F.col("doc_id") == F.col("d")).select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key")
+    same = same.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
+
+    final = components(first.union(second).union(same)).select(F.col("v").alias("rep"), "label")
     named = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"), F.lit(1).alias("one"))
     thin = facts.select("doc_id", "n_shingles", F.col("set_key").alias("key"), F.lit(1).alias("unit"))
     out = thin.join(named, (thin["key"] == named["set_key"]) & (thin["unit"] == named["one"]), "left")
