@@ -34,12 +34,12 @@ def test_words_are_those_of_the_pattern(texts):
             assert own == re.findall(pattern, text)
 
 
-def test_equal_spans_have_equal_hashes_in_any_place_and_block():
+def test_equal_spans_have_equal_hashes_in_any_place():
     words = [f"w{i % 50}" for i in range(3000)]
     data, off = text_buffers(pa.array([" ".join(words)]))
     s, e, _ = word_bounds(data, off, NON_SPACE)
-    a, b = span_hashes(data, s, e), span_hashes(data, s, e, block=64)
-    assert (a == b).all()
+    a, b = span_hashes(data, s, e), span_hashes(data, s, e, 1)
+    assert not (a == b).any()
     assert len({*a.tolist()}) == 50
     assert all(x == a[words.index(w)] for w, x in zip(words, a, strict=True))
 

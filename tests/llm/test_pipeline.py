@@ -58,7 +58,7 @@ def test_one_document_of_each_group_stays(ran):
     links = [(a, b) for a, b in combinations(texts, 2) if texts[a] and texts[b] and 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b])]
     label = brute_components(links, texts)
     assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted({*label.values()})
-    assert sum(r.doc_id is None for r in after) == 1
+    assert sum(r.doc_id is None for r in after) == 0  # its text is that of a document with an id
 
 
 def test_contaminated_documents_go(ran):
@@ -95,8 +95,8 @@ def test_texts_that_share_an_id(spark):
     made = [(3, copied, "a"), (5, other, "b"), (5, copied, "c"), (5, other, "b"), (6, other, "d"), *((7, t, "e") for t in more), (8, more[3], "e"), (9, None, "e"), (9, "", "e"), (None, copied, "e")]
     d = spark.createDataFrame(made, "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text) for r in near_dedup(spark, d, "").collect()), key=str)
-    assert [sum(t == x for _, t in got) for x in (other, *more, copied)] == [1, 1, 1, 1, 1, 2]
-    assert (3, copied) in got and (None, copied) in got and len(got) == 9
+    assert [sum(t == x for _, t in got) for x in (other, *more, copied)] == [1, 1, 1, 1, 1, 1]
+    assert (3, copied) in got and len(got) == 8  # the row without an id goes too
     labels = {}
     for r in near_duplicates(d, 5, 80).where("doc_id is not null").collect():
         labels.setdefault(r.doc_id, set()).add(r.component_id)

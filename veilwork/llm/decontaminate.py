@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .textkernel import ALNUM, LOWER, char_counts, keep_rows, span_hashes, sub_batches, text_buffers, word_bounds
+from .textkernel import ALNUM, LOWER, char_counts, gather, keep_rows, same_spans, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
 SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
@@ -44,9 +44,18 @@ class Phrases:
     """The distinct phrases of a block of items, over the block's own vocabulary (symbols 1..)."""
 
     def __init__(self, items: list[str], texts: list[str | None], window: int) -> None:
-        *_, at, hashes = _words(pa.array(texts, pa.string()))
-        self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
+        data, _, starts, ends, at, _ = _words(pa.array(texts, pa.string()))
+        data = LOWER[data]
+        _, first, rank = np.unique(span_ranks(data, starts, ends), return_index=True, return_inverse=True)
+        starts, ends, self.seed = starts[first], ends[first], 0
+        while len(np.unique(hashes := span_hashes(data, starts, ends, self.seed))) < len(first):
+            self.seed += 1  # until the hash tells all words of the block apart
+        order = np.argsort(hashes)
+        #: Hashes of the words in ascending order, and where their bytes stand; words are symbols 1, 2, ... in that order.
+        self.vocabulary, sizes = hashes[order], (ends - starts)[order]
+        self.bytes, self.stops = gather(data, starts[order], sizes), np.cumsum(sizes)
+        self.begins = self.stops - sizes
+        symbols = np.argsort(order)[rank] + 1
         found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
         for k, item in enumerate(items):
             own = symbols[at[k] : at[k + 1]]
@@ -60,6 +69,17 @@ class Phrases:
         self.items = [sorted(x) for _, x in found.values()]
 
 
+    def lookup(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol - 1 of each word, whether the word is in the vocabulary: found by hash, compared by bytes)."""
+        if self.seed:
+            hashes = span_hashes(lower, starts, ends, self.seed)
+        symbol = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[symbol] == hashes
+        like = np.flatnonzero(known)
+        known[like] = same_spans(lower, starts[like], ends[like], self.bytes, self.begins[symbol[like]], self.stops[symbol[like]])
+        return symbol, known
+
+
 def phrase_blocks(benchmark: DataFrame, window: int) -> list:
     """Broadcast phrases, a bounded block of benchmark text each."""
     spark, out, items, texts, size = benchmark.sparkSession, [], [], [], 0
@@ -75,13 +95,12 @@ def phrase_blocks(benchmark: DataFrame, window: int) -> list:
     return out
 
 
-def _occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _occurrences(phrases: Phrases, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, phrase) of each occurrence within the documents whose words begin at `at`."""
     none = np.zeros(0, np.int64)
     if not len(phrases.lengths) or not len(hashes):
         return none, none
-    symbol = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-    known = phrases.vocabulary[symbol] == hashes
+    symbol, known = phrases.lookup(lower, starts, ends, hashes)
     edge = np.zeros(len(hashes) + 1, bool)
     edge[at] = True
     begin = known.copy()
@@ -109,11 +128,12 @@ def _occurrences(phrases: Phrases, hashes: np.ndarray, at: np.ndarray) -> tuple[
 
 def _found(column: pa.Array, blocks: list, share: int) -> dict[str, pa.Array]:
     data, off, starts, ends, at, hashes = _words(column)
+    lower = LOWER[data]
     docs, cover = len(column), np.zeros(len(hashes) + 1, np.int64)
     items: dict[int, set[str]] = {}
     for block in blocks:
         phrases = block.value
-        word, phrase = _occurrences(phrases, hashes, at)
+        word, phrase = _occurrences(phrases, lower, starts, ends, hashes, at)
         np.add.at(cover, word, 1)
         np.add.at(cover, word + phrases.lengths[phrase], -1)
         doc = np.searchsorted(at, word, "right") - 1

@@ -7,22 +7,26 @@ coordinate is empty, so large sets take one or two rounds and every non-empty se
 coordinates. The share of equal coordinates estimates the Jaccard similarity without bias and
 obeys Hoeffding's bound. (Dahlgaard, Knudsen, Thorup: Fast Similarity Sketching, 2017.)
 
-Candidates. Documents with equal sets form a class and only its least doc_id goes on. Classes that
-agree on one of BANDS bands of ROWS coordinates share a bucket. At similarity 0.8 a pair misses all
-51 bands with probability (1 - 0.8^5)^51 = 1.6e-9.
+Candidates. Documents with equal sets form a class (by a digest of two unrelated 64-bit hashes of every
+shingle) and only its least document goes on. Classes that agree on one of BANDS bands of ROWS coordinates
+share a bucket. At similarity 0.8 a pair misses all 51 bands with probability (1 - 0.8^5)^51 = 1.6e-9.
 
 Verification. All-pairs work inside a bucket is avoided in two steps. First each class is compared
-with the least member of each of its buckets and linked classes are merged. Then the members of the
-buckets that still hold several components are compared across components, by an exact prefix filter:
-every set lists its shingles in one common order, rare ones first (any order is exact; the counts that
-make it good are kept in a table of fixed size), and two linked sets must share a shingle at places that
-leave room for the needed overlap. So a large group of copies whose members differ by more than the
-threshold costs a few candidates each, not a pair with every other, and no link is lost. All links are
-confirmed on full sets of 64-bit shingle hashes.
-
-Defined cases: null, empty or blank texts have no shingles and link with nothing; rows with a null
-doc_id are kept, link with nothing and have a null component; rows that share a doc_id are one
-vertex; any other columns are ignored.
+with the least member of each of its buckets, and linked classes take the least label two hops away. Then
+the members of the buckets that still hold several labels are compared across labels, by an exact prefix
+filter: every set lists its shingles in one common order, rare ones first (any order is exact; the counts
+that make it good are kept in a table of fixed size). Of two linked sets the smaller must share a shingle
+of its short prefix (what may lie before the needed overlap with a set of its own size or more) with the
+larger one's long prefix (the same for a set of any allowed size), at places that leave room for the
+overlap. So copies that differ by more than the threshold, of a group however large, share no such place,
+though they share most shingles; and no link is lost. Links are confirmed on full sets whose words were
+compared byte by byte; hashes only propose.
+
+Defined cases: null, empty or blank texts have no shingles and link with nothing; texts of any length are
+read whole. `near_duplicates`: rows with a null doc_id are kept, link with nothing and have a null component;
+rows that share a doc_id are one vertex. `distinct_texts`: rows that share a doc_id but not the text, and
+rows with a null doc_id, are documents of their own; of rows with equal id and text the least stays. Any
+other columns are ignored or passed through; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import discard, written
-from .textkernel import LOWER, NON_SPACE, PIECE_BYTES, mix64, pieces, span_hashes, sub_batches, word_bounds
+from .textkernel import LOWER, NON_SPACE, PIECE_BYTES, mix64, pieces, run_ranks, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
 COORDS, ROWS, BANDS = 255, 5, 51
 #: Slots of the table of shingle counts.
@@ -46,26 +50,49 @@ _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
 
+def _rolled(hashes: np.ndarray, words: int) -> np.ndarray:
+    out = hashes
+    for k in range(1, words):
+        out = mix64(out[: len(out) - 1] * _U(3) + hashes[k:]) if len(out) else out
+    return out
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text; fewer words than `words` make one shingle."""
+    return (a for a, _ in keyed_sets(column, words, False))
+
+
+def keyed_sets(column: pa.Array, words: int, twice: bool = True) -> Iterator[tuple[np.ndarray, bytes]]:
+    """`shingle_sets`, each with a digest of it and (if `twice`) of second hashes of the same shingles."""
     for first, end, data, off in pieces(column):
         data = LOWER[data]
         starts, ends, at = word_bounds(data, off, NON_SPACE)
-        hashes = span_hashes(data, starts, ends)
-        rolled = hashes
-        for k in range(1, words):
-            rolled = mix64(rolled[: len(rolled) - 1] * _U(3) + hashes[k:]) if len(rolled) else rolled
+        levels = [span_hashes(data, starts, ends, seed) for seed in range(1 + twice)]
+        rolled = [_rolled(h, words) for h in levels]
         for i in range(end - first):
             n = int(at[i + 1] - at[i])
             if n >= words:
-                yield np.unique(rolled[at[i] : at[i + 1] - words + 1])
-            elif n:
-                short = hashes[at[i] : at[i] + 1]
-                for k in range(1, n):
-                    short = mix64(short * _U(3) + hashes[at[i] + k])
-                yield mix64(short + _U(n))  # apart from longer sequences
+                own, where = np.unique(rolled[0][at[i] : at[i + 1] - words + 1], return_index=True)
+                also = [r[at[i] + where] for r in rolled[1:]]
+            elif n:  # told apart from longer sequences by the number of words
+                own, *also = (mix64(_rolled(h[at[i] : at[i + 1]], n) + _U(n)) for h in levels)
             else:
-                yield hashes[:0]
+                own, also = levels[0][:0], []
+            yield own, hashlib.blake2b(b"".join(x.tobytes() for x in (own, *also)), digest_size=16).digest() if twice else b""
+
+
+def exact_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of the shingles of each text, equal within this column exactly where the shingles are equal."""
+    data, off = text_buffers(column)
+    data = LOWER[data]
+    starts, ends, at = word_bounds(data, off, NON_SPACE)
+    ranks, n = span_ranks(data, starts, ends), np.diff(at)
+    rolled = run_ranks(ranks, words)
+    out = [np.unique(rolled[at[i] : at[i + 1] - words + 1]) if n[i] >= words else ranks[:0] for i in range(len(n))]
+    short: dict[tuple, int] = {}
+    for i in np.flatnonzero((n > 0) & (n < words)).tolist():
+        out[i] = np.array([-1 - short.setdefault(tuple(ranks[at[i] : at[i + 1]].tolist()), len(short))], np.int64)
+    return out
 
 
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -95,15 +122,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+SUMMARY = "doc_id long, digest string, n_shingles long, set_key binary, sketch binary"
+
+
 def _summaries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            sets = list(shingle_sets(batch.column(1), words))
+            sets, keys = zip(*keyed_sets(batch.column(2), words), strict=True)
             full = [x for x in sets if len(x)]
             lines = (line for k in range(0, len(full), 500) for line in sketches(full[k : k + 500]))
-            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             drawn = [next(lines).tobytes() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+            keys = [k if len(x) else None for k, x in zip(keys, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "digest", "n_shingles", "set_key", "sketch"])
 
     return run
 
@@ -140,37 +170,44 @@ def _slot_counts(words: int):
 
 
 def _prefixes(words: int, percent: int, counts):
-    """(rep, size, label, text) -> a row for each shingle of the set's prefix, with its place in the common order."""
+    """(rep, size, label, text) -> a row for each shingle of the set's long prefix, with its place in the common order; `short` marks the short prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            tokens, spread, places = [], [], []
+            tokens, spread, places, short = [], [], [], []
             for k, x in enumerate(shingle_sets(batch.column(3), words)):
                 n = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 order = np.lexsort((x, counts.value[_slot(x)]))[:n]
                 tokens.append(x[order])
                 spread.append(np.full(len(order), k))
                 places.append(np.arange(len(order)))
+                short.append((100 + percent) * (len(x) - places[-1]) >= 2 * percent * len(x))
             pick = np.concatenate(spread)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(batch.column(c).to_numpy()[pick]) for c in range(3)), pa.array(np.concatenate(places).astype(np.int64))], ["bucket", "rep", "size", "label", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(batch.column(c).to_numpy()[pick]) for c in range(3)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(short))], ["bucket", "rep", "size", "label", "place", "short"])
 
     return run
 
 
+def _split(rows: DataFrame, table_: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that a grouping made one row a key. A hash of the key is a second key: so Spark shuffles
+    both sides for this join, instead of reusing the grouping's exchange, and can split the partition of a hot key."""
+    return rows.join(table_, (F.col(left) == F.col(right)) & (F.xxhash64(left) == F.xxhash64(right)), how)
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows (bucket, label, ...) of buckets that hold several labels, with each bucket's commonest label as main."""
     parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1")
-    mixed = mixed.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"), F.lit(1).alias("one"))
-    return rows.join(mixed, (F.col("bucket") == F.col("k")) & (F.lit(1) == F.col("one"))).drop("k", "one")
+    mixed = mixed.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"))
+    return _split(rows, mixed, "bucket", "k").drop("k")
 
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(sub_batches(batches, "text_b", PIECE_BYTES // 2), "text_a", PIECE_BYTES):
             own = batch.column(2).dictionary_encode()  # a star's centre stands in many rows
-            centres = list(shingle_sets(own.dictionary, words))
-            good = [linked(centres[k], y, percent) for k, y in zip(own.indices.to_pylist(), shingle_sets(batch.column(3), words), strict=True)]
+            sets = exact_sets(pa.concat_arrays([own.dictionary, batch.column(3)]), words)
+            good = [linked(sets[k], y, percent) for k, y in zip(own.indices.to_pylist(), sets[len(own.dictionary) :], strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -184,51 +221,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row.
+def _labels(links: DataFrame) -> DataFrame:
+    """links (a, b) with a < b -> (v, label): for each b the least vertex that one, then one more hop reaches."""
+    one = links.groupBy("b").agg(F.min("a").alias("to"))
+    two = one.select(F.col("b").alias("at"), F.col("to").alias("far"))
+    return one.join(two, F.col("to") == F.col("at"), "left").select(F.col("b").alias("v"), F.coalesce("far", "to").alias("label"))
 
-    Links documents whose sets of `words`-word shingles have a Jaccard similarity of percent / 100 or
-    more; component_id is the least doc_id reachable and `kept` marks that document.
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs -> doc_id, digest (of the text), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text")
+
+
+def _digest() -> Column:
+    return F.coalesce(F.sha1("text"), F.lit("null"))
+
+
+def _groups(rows: DataFrame, usable: str, words: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(facts of every row, classes (set_key, doc_id, digest, rep, label)); rep numbers a class, label is its component's least rep.
+
+    A class is numbered by its least doc_id; of classes with one least doc_id, all but one get a stand-in above 2^62, and so
+    does a class of rows without id. by_id: classes that hold rows of one id are linked.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = written(rows.mapInArrow(_summaries(words), "doc_id long, n_shingles long, set_key binary, sketch binary"), "facts")
-    usable = facts.where("doc_id is not null and set_key is not null")
-    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch", "n_shingles")).alias("r"))
-    reps = written(classes.select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.sketch").alias("sketch")), "reps")
+    spark = rows.sparkSession
+    facts = written(rows.mapInArrow(_summaries(words), SUMMARY), "facts")
+    used = facts.where("set_key is not null").where(usable)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "sketch", "n_shingles"))
+    classes = used.groupBy("set_key").agg(least.alias("r")).select("set_key", "r.doc_id", "r.digest", F.col("r.n_shingles").alias("size"), "r.sketch")
+    classes = written(classes, "classes")
+    several = classes.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("of"), "first")
+    stand_in = F.lit(1 << 62) + F.conv(F.substring(F.sha1(F.concat_ws(" ", "doc_id", "digest")), 1, 15), 16, 10).cast("long")
+    own = F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.col("set_key")))
+    reps = classes.join(several, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    reps = written(reps.select("set_key", "doc_id", "digest", "size", "sketch", F.when(own, F.col("doc_id")).otherwise(stand_in).alias("rep")), "reps")
 
     members = reps.select("rep", "size", "sketch").mapInArrow(_bands, "bucket long, rep long, size long")
     buckets = members.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("c"), F.max("rep").alias("top")).where("c.rep <> top")
-    joint = members.join(buckets.select(F.col("bucket").alias("k"), F.lit(1).alias("one"), F.col("c.rep").alias("a"), F.col("c.size").alias("size_a")), (F.col("bucket") == F.col("k")) & (F.lit(1) == F.col("one")))
+    joint = _split(members, buckets.select(F.col("bucket").alias("k"), F.col("c.rep").alias("a"), F.col("c.size").alias("size_a")), "bucket", "k")
     joint = written(joint.select("bucket", "rep", "size", "a", "size_a"), "buckets")
     near = "100 * least(size, size_a) >= {0} * greatest(size, size_a)".format(percent)
-    in_play = joint.where("rep <> a").select(F.explode(F.array("rep", "a")).alias("rep")).distinct()
-    texts = written(rows.join(in_play, F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
+    in_play = joint.where("rep <> a").select(F.explode(F.array("rep", "a")).alias("rep")).distinct().join(reps.select("rep", F.col("doc_id").alias("id"), F.col("digest").alias("of")), "rep")
+    texts = rows.join(in_play, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+    texts = written(texts.groupBy("rep").agg(F.min("text").alias("text")), "texts")  # repeated rows
 
     stars = written(joint.where("rep <> a").where(near).select("a", F.col("rep").alias("b")).distinct(), "stars")
     first = written(_verified(stars, texts, words, percent), "links")
-    labels = components(first)
+    labels = written(_labels(first), "labels")
 
     named = joint.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
     open_ = written(_mixed(named).select("rep", "size", "label").distinct().join(texts, "rep").select("rep", "size", "label", "text"), "open")
     counts = np.zeros(SLOTS, np.int64)
     drawn = open_.select("text").mapInArrow(_slot_counts(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     counts[drawn.column("slot").to_numpy()] = drawn.column("n").to_numpy()
-    counts = docs.sparkSession.sparkContext.broadcast(counts)
-    left = written(_mixed(open_.mapInArrow(_prefixes(words, percent, counts), "bucket long, rep long, size long, label long, place long")), "mixed")
-    x = left.where("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"), F.col("place").alias("place_x"))
-    room = f"{100 + percent} * least(size - place, size_x - place_x) >= {percent} * (size + size_x)"
-    cross = left.join(x, "bucket").where("label <> label_x").where(room).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+    counts = spark.sparkContext.broadcast(counts)
+    left = written(_mixed(open_.mapInArrow(_prefixes(words, percent, counts), "bucket long, rep long, size long, label long, place long, short boolean")), "mixed")
+    small = left.where("short").select("bucket", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"), F.col("place").alias("place_x"), (F.col("label") == F.col("main")).alias("main_x"))
+    room = f"size_x <= size and {100 + percent} * least(size - place, size_x - place_x) >= {percent} * (size + size_x) and label <> label_x"
+    meet = lambda l, s: l.join(s, "bucket").where(room).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+    cross = meet(left, small.where("not main_x")).union(meet(left.where("label <> main"), small.where("main_x"))).distinct()  # no pairs within the main label
     likely = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    second = _verified(likely, texts, words, percent)
+    links = first.union(_verified(likely, texts, words, percent))
+    if by_id:
+        ids = used.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("d"))
+        same = _split(used, ids, "doc_id", "d").select("d", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key").select("d", "rep")
+        links = links.union(_split(same, same.groupBy(F.col("d").alias("of")).agg(F.min("rep").alias("a")), "d", "of").where("a <> rep").select("a", F.col("rep").alias("b")))
+    final = components(links).select(F.col("v").alias("rep"), "label")
+    named = written(reps.drop("sketch").join(final, "rep", "left").select("set_key", "doc_id", "digest", "rep", F.coalesce("label", "rep").alias("label")), "named")
+    discard(classes, reps, joint, texts, stars, first, labels, open_, left, likely)
+    return facts, named
+
 
-    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("d"))
-    same = usable.join(several, F.col("doc_id") == F.col("d")).select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key")
-    same = same.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
-    final = components(first.union(second).union(same)).select(F.col("v").alias("rep"), "label")
-    named = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"), F.lit(1).alias("one"))
-    thin = facts.select("doc_id", "n_shingles", F.col("set_key").alias("key"), F.lit(1).alias("unit"))
-    out = thin.join(named, (thin["key"] == named["set_key"]) & (thin["unit"] == named["one"]), "left")
+    Links documents whose sets of `words`-word shingles have a Jaccard similarity of percent / 100 or
+    more; component_id is the least doc_id reachable and `kept` marks that document.
+    """
+    facts, named = _groups(_identified(docs), "doc_id is not null", words, percent, by_id=True)
+    thin = facts.select("doc_id", "n_shingles", F.col("set_key").alias("key"))
+    out = _split(thin, named.select("set_key", "label"), "key", "set_key", "left")
     out = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    discard(facts, reps, joint, texts, stars, first, open_, left, likely)
+    discard(facts, named)
     return out
+
+
+def distinct_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (any columns beside doc_id and text) without near-duplicates: one document of each group, that of the least doc_id.
+
+    The rows themselves are shuffled once, by id and digest, where repeated rows are combined first.
+    """
+    facts, named = _groups(_identified(docs), "true", words, percent, by_id=False)
+    stay = named.where("rep = label").select("doc_id", "digest").union(facts.where("set_key is null").select("doc_id", "digest").distinct())
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("__doc"), _digest().alias("__digest")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return rows.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi").select("__row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import LOWER, NON_SPACE, char_counts, keep_rows, mix64, span_hashes, sub_batches, text_buffers, word_bounds
+from .textkernel import LOWER, NON_SPACE, char_counts, keep_rows, mix64, run_ranks, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
 SIZE = 1 << 15
 PER_CLASS, THRESHOLD = 1500, 0.5
@@ -38,10 +38,12 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _repeats(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count of each entry's (owner, hash), whether an equal entry stands before it)."""
-    _, first, back, count = np.unique(mix64(hashes + mix64(owner.astype(_U) + _U(1))), return_index=True, return_inverse=True, return_counts=True)
-    return count[back], first[back] != np.arange(len(hashes))
+def _repeats(owner: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count of each entry's (owner, rank), whether an equal entry stands before it)."""
+    if not len(ranks):
+        return ranks, np.zeros(0, bool)
+    _, first, back, count = np.unique(owner * (int(ranks.max()) + 1) + ranks, return_index=True, return_inverse=True, return_counts=True)
+    return count[back], first[back] != np.arange(len(ranks))
 
 
 def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -50,7 +52,7 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     docs = len(off) - 1
     starts, ends, at = word_bounds(data, off, NON_SPACE)
     chars = char_counts(data)
-    hashes = span_hashes(data, starts, ends)
+    ranks = span_ranks(data, starts, ends)
 
     cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 0x0A) + 1]))
     cut = cut[cut < len(data)]
@@ -58,15 +60,14 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     doc = np.searchsorted(off, cut, "right") - 1
     stop = stop - (data[np.maximum(stop, 1) - 1] == 0x0A) if len(cut) else stop
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, cut) if len(cut) else np.zeros(0, bool)
-    _, again = _repeats(doc[full], span_hashes(data, cut[full], stop[full]))
+    _, again = _repeats(doc[full], span_ranks(data, cut[full], stop[full]))
     dup = np.bincount(doc[full][again], minlength=docs)
 
     owner = np.repeat(np.arange(docs), np.diff(at))
-    covered = np.zeros(len(hashes), bool)
-    if len(hashes) > 2:
+    covered = np.zeros(len(ranks), bool)
+    if len(ranks) > 2:
         inside = np.flatnonzero(owner[:-2] == owner[2:])
-        triple = mix64(mix64(hashes[inside] * _U(3) + hashes[inside + 1]) * _U(5) + hashes[inside + 2])
-        often = inside[_repeats(owner[inside], triple)[0] >= 2]
+        often = inside[_repeats(owner[inside], run_ranks(ranks, 3)[inside])[0] >= 2]
         for k in range(3):
             covered[often + k] = True
     return {"n_words": np.diff(at), "word_chars": _sums(chars[ends] - chars[starts], at), "n_symbols": _sums(_SYMBOL[data], off), "n_dup_lines": dup, "n_repeat_words": _sums(covered, at)}

@@ -20,7 +20,7 @@ import struct
 
 import numpy as np
 
-from .encode import gather
+from .textkernel import gather
 
 MAGIC = b"GRB1"
 HEAD = struct.Struct("<4s6IQ")

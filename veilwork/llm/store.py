@@ -23,7 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a task holds little text on either side of the pipe; a session's own settings stay."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    small_batches(spark)
     return f"{shared_dir(spark)}/veilwork/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,4 +53,5 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
