@@ -7,11 +7,10 @@ its output is written as Parquet and read back as the next stage's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilwork.llm.decontaminate import keep_clean
 from veilwork.llm.mixing import mixed
-from veilwork.llm.near_dup import near_duplicates
+from veilwork.llm.near_dup import distinct_texts
 from veilwork.llm.quality import keep_good, train
 from veilwork.llm.queries import vocabulary
 from veilwork.llm.store import table, written
@@ -27,20 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more); of rows with equal id and text, the least.
 
-    Rows that share an id but not the text are documents of their own: all texts of an id but the one of
-    least digest get a stand-in id, above 2^62, while groups are made.
+    Rows that share an id but not the text, and rows without an id, are documents of their own.
     """
-    rows = docs.where("doc_id is not null").withColumn("__digest", F.sha2(F.concat(F.col("text").isNull().cast("string"), F.coalesce("text", F.lit(""))), 256))
-    several = rows.groupBy(F.col("doc_id").alias("__of")).agg(F.min("__digest").alias("__least"), F.max("__digest").alias("__most")).where("__least <> __most").drop("__most")
-    other = F.conv(F.substring(F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "__digest"), 256), 1, 15), 16, 10).cast("long")
-    stand_in = F.lit(1 << 62) + other
-    rows = rows.join(several, F.col("doc_id") == F.col("__of"), "left")
-    rows = rows.withColumn("__vertex", F.when(F.col("__digest") != F.col("__least"), stand_in).otherwise(F.col("doc_id").cast("long"))).drop("__of", "__least", "__digest")
-    found = near_duplicates(rows.select(F.col("__vertex").alias("doc_id"), "text"), words=5, percent=80)
-    ids = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = rows.join(ids, F.col("__vertex") == F.col("__id"), "left_semi")
-    kept = kept.groupBy("__vertex").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    return distinct_texts(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
