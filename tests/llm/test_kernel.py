@@ -1,3 +1,5 @@
+import gzip
+import io
 import random
 import re
 
@@ -10,10 +12,10 @@ from hypothesis import strategies as st
 from veilwork.llm.encode import Encoder, encoder
 from veilwork.llm.fm_index import FMIndex
 from veilwork.llm.queries import vocabulary
-from veilwork.llm.repair import Block, pack
+from veilwork.llm.repair import Block, lengths, pack
 from veilwork.llm.textkernel import ALNUM, LOWER, NON_SPACE, pieces, span_hashes, text_buffers, word_bounds
 from veilwork.llm.token_counts import encode_long
-from veilwork.llm.warc import LoserTree, merge_order, records, url_key
+from veilwork.llm.warc import LoserTree, members, merge_order, record, url_key
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t.#'漢😀\x0b\x1f\x00 ", max_size=30)), max_size=12)
 
@@ -88,10 +90,20 @@ def test_grammar_round_trip_and_random_access(docs):
         assert block.tokens(a, b).tolist() == ids[max(0, a) : b].tolist()
 
 
-def test_grammar_finds_rules():
+def test_grammar_leaves_no_pair_that_pays():
     ids = np.tile(np.array([1, 2, 3, 4], np.uint32), 500)
     block = Block(pack([1], np.array([2000]), ids, 10))
-    assert len(block.symbols) < 300 and block.lengths.max() >= 8
+    assert len(block.symbols) < 12 and block.lengths.max() >= 256
+    r = np.random.default_rng(4)
+    ids = r.zipf(1.3, 60_000).clip(max=65_000).astype(np.uint32)
+    raw = pack([1, 2], np.array([30_000, 30_000]), ids, 65_001)  # symbols above 16 bits
+    block = Block(raw)
+    assert block.all().tolist() == ids.tolist() and len(raw) < 2 * len(ids)
+    assert block.lengths.tolist() == lengths(block.rules, 65_001).tolist() and block.rules.max() >= 65_001
+    left = np.stack([block.symbols[:-1], block.symbols[1:]], axis=1)
+    left = np.delete(left, int(block.sizes[0]) - 1, axis=0)  # no pair crosses documents
+    left = left[left[:, 0] != left[:, 1]]
+    assert np.unique(left, axis=0, return_counts=True)[1].max() < 8  # pairs that overlap others may be left
 
 
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=12), min_size=1, max_size=6), st.lists(st.integers(1, 3), min_size=1, max_size=4))
@@ -121,10 +133,22 @@ def test_loser_tree_merges_sorted_runs(runs):
 
 def test_warc_records_follow_lengths():
     raw = b"WARC/1.1\r\nA: b\r\nContent-Length: 8\r\n\r\n\r\n\r\nWARC\r\n\r\n"
-    (head, at, length, block), = records(raw)
-    assert (head["A"], at, length, block) == ("b", 0, len(raw), b"\r\n\r\nWARC")
+    head, block = record(raw)
+    assert (head["A"], block) == ("b", b"\r\n\r\nWARC")
+    for bad in (b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabcdef", b"", b"x\r\n\r\n"):
+        with pytest.raises(ValueError):
+            record(bad)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_gzip_members_are_found_in_a_stream(chunk):
+    parts = [b"", b"a" * 1000, b"xyz", b"\x1f\x8b" * 50]
+    packed = [gzip.compress(x) for x in parts]
+    found = list(members(io.BytesIO(b"".join(packed)), chunk))
+    assert [x for *_, x in found] == parts and [n for _, n, _ in found] == [len(x) for x in packed]
+    assert found[2][0] == len(packed[0]) + len(packed[1])
     with pytest.raises(ValueError):
-        list(records(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabcdef"))
+        list(members(io.BytesIO(packed[1][:-3]), chunk))
 
 
 def test_url_keys():

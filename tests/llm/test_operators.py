@@ -20,7 +20,7 @@ from veilwork.llm.queries import vocabulary
 from veilwork.llm.secrets import Forest, features, labelled_findings, scan_secrets, train_forest
 from veilwork.llm.token_counts import token_counts
 from veilwork.llm.token_files import token_files
-from veilwork.llm.warc import archive_pages
+from veilwork.llm.warc import archive_pages, read_record
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix boxing gloves with five dozen liquor jugs and then walk home along a river bank"
@@ -49,7 +49,7 @@ def rows(df):
 def test_token_files(spark, odd, none):
     tool, at = encoder(vocabulary()), 0
     got = token_files(odd, vocabulary(), 2).orderBy("start").collect()
-    want = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = [(r.doc_id, r.text) for r in sorted(odd.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     assert len(got) == len(want)
     for g, (doc, text) in zip(got, want, strict=True):
         ids = [*tool.raw([text or ""])[0], 2]
@@ -221,6 +221,13 @@ def test_archives(spark):
         again = origin is not None and origin != p
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", origin) if again else ("response", None))
+    for r in got:  # any record can be read by its place
+        head, block = read_record(r.run, r.first, r.length)
+        assert head["WARC-Record-ID"] == f"<urn:page:{'null' if r.page_id is None else r.page_id}>"
+        html = next(h for p, _, h in made if p == r.page_id) or ""
+        assert block.split(b"\r\n\r\n", 1)[1] == (html.encode() if r.record_type == "response" else b"")
+    long = spark.createDataFrame([(1, "u", "long " * 2_000_000), (2, "u", None), (3, "u", "long " * 2_000_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in archive_pages(long).collect()) == [(1, 10_000_000, 3), (2, 0, None), (3, 10_000_000, None)]
     assert archive_pages(pages.limit(0)).count() == 0
     assert archive_pages(pages.union(pages)).count() == 18
 

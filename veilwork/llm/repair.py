@@ -1,34 +1,58 @@
 """Re-Pair grammar compression of token ids, one grammar per block, with random-access decoding.
 
-Each round counts the pairs of adjacent symbols in a block, gives the most frequent ones a new symbol
-(a nonterminal) each and replaces their occurrences from left to right without overlap; rounds repeat
-until no pair is frequent enough, at most `most_rounds` times (later rounds gain little). Pairs never cross the end of a document, so each document is a run
+Each round counts the pairs of adjacent symbols in a block, gives frequent ones a new symbol (a
+nonterminal) each and replaces their occurrences from left to right without overlap. Rounds repeat until
+no pair pays: a rule costs three symbols (its pair and its length), so a pair that can be replaced fewer
+than `least` = 4 times saves nothing. Pairs never cross the end of a document, so each document is a run
 of symbols. A block stores its rules, each nonterminal's expansion length, the symbols, and for each
 document its id, token count and symbol count; prefix sums over expansion lengths find any token
 without decoding what stands before it.
 
-Many pairs are replaced in a round (instead of one) so that a round is a few vector operations.
+Many pairs are replaced in a round (instead of one), those that are at least a tenth as frequent as the
+50th, so that a round is a few vector operations. Pairs are counted in hashed slots, where of two pairs in
+one slot one waits for a later round; once that finds nothing more, pairs are counted exactly.
 
-Block layout, little-endian: magic `GRB1`; six uint32 (documents, first nonterminal, rules, symbols,
-bytes a symbol: 2 or 4, 0); uint64 tokens; int64 doc ids; uint8 null flags of doc ids; uint32 tokens and
-uint32 symbols of each document; rules as symbol pairs; uint32 expansion lengths; symbols.
+Block layout, little-endian: magic `GRB2`; six uint32 (documents, first nonterminal, rules, symbols, bits a
+symbol, bytes a length: 2 or 4); uint64 tokens; int64 doc ids; uint8 null flags of doc ids; uint32 tokens and
+uint32 symbols of each document; rules as symbol pairs; expansion lengths; symbols. Symbols are written as
+their low 16 bits, then a bit plane for each bit above.
+
+Defined cases: an empty block has no rules and no symbols; documents without ids have no symbols; doc ids
+may be null or repeat.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 from .textkernel import gather
 
-MAGIC = b"GRB1"
+MAGIC = b"GRB2"
 HEAD = struct.Struct("<4s6IQ")
 SLOTS = 1 << 18
-_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_NO_PAIR = np.uint64((1 << 64) - 1)
+
+
+def _counted(keys: np.ndarray, turn: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, their counts, the number of the pair at each place or -1)."""
+    real = keys != _NO_PAIR
+    if exact:
+        names, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        counts = np.where(names == _NO_PAIR, 0, counts)
+    else:
+        number = (keys * np.uint64(_SPREAD[turn % 4]) >> np.uint64(46)).astype(np.int32)
+        names = np.zeros(SLOTS, np.uint64)
+        names[number] = keys
+        real &= names[number] == keys
+        counts = np.bincount(number[real], minlength=SLOTS)
+    return names, counts, np.where(real, number, -1)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, most_rounds: int = 5, least: int = 24, most_rules: int = 3000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as symbol pairs, symbols, symbol count of each document) of ids whose documents end at `ends`.
 
     first: the first nonterminal, above every id.
@@ -37,72 +61,83 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most_rounds: int = 5
     last = np.zeros(len(x), bool)
     last[ends[ends > 0] - 1] = True
     rules = np.zeros((0, 2), np.uint32)
-    owner_ends = last
-    for turn in range(most_rounds):
-        if len(x) < 2:
-            break
-        left, right = x[:-1], x[1:]
-        keys = (left.astype(np.uint64) << np.uint64(32)) | right
-        slot = (keys * _SPREAD[turn % 2] >> np.uint64(46)).astype(np.int32)
-        slot[owner_ends[:-1]] = 0  # slot 0 is never used
-        names = np.zeros(SLOTS, np.uint64)
-        names[slot] = keys  # of pairs that share a slot, one is counted in this round
-        match = names[slot] == keys
-        counts = np.bincount(slot[match], minlength=SLOTS)
-        counts[0] = 0
-        good = np.flatnonzero(counts >= least)
-        if not len(good):
-            break
-        good = good[np.argsort(-counts[good], kind="stable")][:most_rules]
-        chosen, number = names[good], np.full(SLOTS, -1, np.int32)
-        number[good] = np.arange(len(good))
-        rule = number[slot]
-        place = np.flatnonzero(match & (rule >= 0))
+    turn, exact = 0, False
+    while len(x) > 1:
+        keys = (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
+        keys[last[:-1]] = _NO_PAIR
+        names, counts, number = _counted(keys, turn, exact)
+        turn += 1
+        often = np.partition(counts, -50)[-50] // 10 if len(counts) > 50 and not exact else 0
+        good = np.flatnonzero(counts >= max(least, often))
+        rule_of = np.full(len(names) + 1, -1, np.int32)  # the last entry is for places without a pair
+        rule_of[good] = np.arange(len(good))
+        rule = rule_of[number]
+        place = np.flatnonzero(rule >= 0)
         rule = rule[place]
         fresh = np.ones(len(place), bool)
         fresh[1:] = place[1:] != place[:-1] + 1
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
         odd = (np.arange(len(place)) - run) & 1
         place, rule = place[odd == 0], rule[odd == 0]
-        x[place] = (first + len(rules) + rule).astype(np.uint32)
+        pays = np.bincount(rule, minlength=len(good)) >= least
+        if not pays.any():
+            if exact:
+                break
+            exact = True
+            continue
+        place, rule = place[pays[rule]], rule[pays[rule]]
+        x[place] = (first + len(rules) + (np.cumsum(pays) - 1)[rule]).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[place + 1] = False
-        owner_ends[place] |= owner_ends[place + 1]
-        x, owner_ends = x[keep], owner_ends[keep]
+        last[place] |= last[place + 1]
+        x, last = x[keep], last[keep]
+        chosen = names[good[pays]]
         rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    stops = np.flatnonzero(owner_ends) + 1
+    stops = np.flatnonzero(last) + 1
     sizes = np.zeros(len(ends), np.int64)
     sizes[np.diff(ends, prepend=0) > 0] = np.diff(stops, prepend=0)
     return rules, x, sizes
 
 
+def _rounds(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that use only symbols from before the stretch."""
+    begin = 0
+    while begin < len(rules):
+        end = begin + int(np.argmax(np.append((rules[begin:] >= first + begin).any(axis=1), True)))
+        yield begin, end
+        begin = end
+
+
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Expansion length of each nonterminal; a rule uses only earlier ones."""
     out = np.ones(len(rules), np.int64)
-    begin = 0
-    while begin < len(rules):  # rules of one round use symbols of earlier rounds only
-        end = begin + int(np.argmax(np.append((rules[begin:] >= first + begin).any(axis=1), True)))
+    for begin, end in _rounds(rules, first):
         part = rules[begin:end].astype(np.int64)
         below = np.where(part < first, 1, out[np.maximum(part - first, 0)])
         out[begin:end] = below.sum(axis=1)
-        begin = end
     return out
 
 
+def _put(symbols: np.ndarray, bits: int) -> bytes:
+    planes = (np.packbits(symbols >> np.uint32(k) & np.uint32(1)).tobytes() for k in range(16, bits))
+    return b"".join([(symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
+
+
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray, first: int) -> bytes:
     """A block of the documents' ids; counts: ids of each document; doc ids may be null."""
     rules, symbols, sizes = compress(ids, np.cumsum(counts), first)
-    kind = np.uint16 if first + len(rules) <= 1 << 16 else np.uint32
-    head = HEAD.pack(MAGIC, len(doc_ids), first, len(rules), len(symbols), kind().itemsize, 0, len(ids))
+    bits, long = max(16, int(first + len(rules)).bit_length()), lengths(rules, first)
+    width = 4 if len(long) and long.max() >= 1 << 16 else 2
+    head = HEAD.pack(MAGIC, len(doc_ids), first, len(rules), len(symbols), bits, width, len(ids))
     return b"".join([
         head,
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
         np.array([x is None for x in doc_ids], np.uint8).tobytes(),
         counts.astype("<u4").tobytes(),
         sizes.astype("<u4").tobytes(),
-        rules.astype(kind).tobytes(),
-        lengths(rules, first).astype("<u4").tobytes(),
-        symbols.astype(kind).tobytes(),
+        _put(rules.ravel(), bits),
+        long.astype(f"<u{width}").tobytes(),
+        _put(symbols, bits),
     ])
 
 
@@ -110,10 +145,10 @@ class Block:
     """A packed block, opened for decoding."""
 
     def __init__(self, raw: bytes) -> None:
-        magic, docs, self.first, rules, symbols, wide, _, self.n_tokens = HEAD.unpack_from(raw)
+        magic, docs, self.first, rules, symbols, bits, width, self.n_tokens = HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a token block")
-        kind, at = {2: "<u2", 4: "<u4"}[wide], HEAD.size
+        at = HEAD.size
 
         def take(dtype: str, n: int) -> np.ndarray:
             nonlocal at
@@ -121,31 +156,40 @@ class Block:
             at += out.nbytes
             return out
 
+        def take_symbols(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.int64)
+            for k in range(16, bits):
+                out |= np.unpackbits(take("u1", (n + 7) // 8), count=n).astype(np.int64) << k
+            return out
+
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, null, strict=True)]
         self.counts, self.sizes = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        self.rules, self.lengths = take(kind, 2 * rules).reshape(-1, 2).astype(np.int64), take("<u4", rules).astype(np.int64)
-        self.symbols = take(kind, symbols).astype(np.int64)
-        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        self.rules, self.lengths = take_symbols(2 * rules).reshape(-1, 2), take(f"<u{width}", rules).astype(np.int64)
+        self.symbols = take_symbols(symbols)
+        self._flat: np.ndarray | None = None
+        self._begin = np.cumsum(self.lengths) - self.lengths
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """(all expansions one after another, where each begins); terminals are their own."""
+    def _expansions(self) -> np.ndarray:
+        """The expansions of all nonterminals, one after another."""
         if self._flat is None:
-            begin = np.cumsum(self.lengths) - self.lengths
-            flat = np.zeros(int(self.lengths.sum()), np.int64)
-            for k, (a, b) in enumerate(self.rules):
-                at = begin[k]
-                for s in (a, b):
-                    if s < self.first:
-                        flat[at] = s
-                        at += 1
-                    else:
-                        n = self.lengths[s - self.first]
-                        flat[at : at + n] = flat[begin[s - self.first] : begin[s - self.first] + n]
-                        at += n
-            self._flat = flat, begin
+            self._flat = np.zeros(int(self.lengths.sum()), np.uint32)
+            for begin, end in _rounds(self.rules, self.first):
+                found = self._spelled(self.rules[begin:end].ravel(), self._flat)
+                self._flat[self._begin[begin] : self._begin[begin] + len(found)] = found
         return self._flat
 
+    def _spelled(self, symbols: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The ids of the symbols; flat holds the expansions of the nonterminals among them."""
+        deep, n = symbols >= self.first, self._lengths_of(symbols)
+        at = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int64)
+        out[at[~deep]] = symbols[~deep]
+        spread = n[deep]
+        into = np.repeat(at[deep] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))
+        out[into] = gather(flat, self._begin[symbols[deep] - self.first], spread)
+        return out
+
     def _lengths_of(self, symbols: np.ndarray) -> np.ndarray:
         deep = symbols >= self.first
         out = np.ones(len(symbols), np.int64)
@@ -153,13 +197,7 @@ class Block:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, begin = self._expansions()
-        deep = symbols >= self.first
-        pool = np.concatenate([flat, symbols[~deep]])
-        start = np.empty(len(symbols), np.int64)
-        start[deep] = begin[symbols[deep] - self.first]
-        start[~deep] = len(flat) + np.arange(int((~deep).sum()))
-        return gather(pool, start, self._lengths_of(symbols))
+        return self._spelled(symbols, self._expansions())
 
     def all(self) -> np.ndarray:
         return self.expand(self.symbols)

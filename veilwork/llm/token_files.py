@@ -29,8 +29,8 @@ DECODED = "part int, first long, doc_id long, n_tokens long, ids_crc32 long"
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Encodes docs (doc_id, text) and appends end_id to each document.
 
-    A null text is empty; null ids come first; rows that share an id stay, ordered by their text;
-    an empty table gives files without blocks.
+    A null text is empty; null ids come first; rows that share an id stay, in an order by their texts' hashes, so
+    that their range too can be cut; a text of any length is one document; an empty table gives files without blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int)
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     rows.mapInArrow(run, BLOCKS).write.parquet(path)
 
 
