@@ -2,41 +2,48 @@
 
 Writing. A page becomes one WARC/1.1 record: a `response` with its payload, or a `revisit` that refers
 to the response with the same payload. Equal payloads of at least `least` bytes are found by digest and
-length; the one with the largest page_id is the response. The archives are WARC files: a record
-ends with CR LF CR LF, which is the line separator given to Spark's text writer, so the payload goes
-from column to file inside the JVM under Spark's commit protocol. Files are gzipped as a whole; offsets
-count bytes of the archive inside.
+length; the one with the largest page_id is the response. Every record is a gzip member of its own, so
+an archive can be read from any record's offset. A task appends records to a file in the shared folder
+and begins another one at FILE_BYTES; the files' names come from the task's attempt, and a table of the
+files, written under Spark's commit protocol, says which of them count: those of attempts that were lost
+are not in it. Folders are reached through pyarrow's file systems (local or mounted, hdfs, s3, gs).
 
-Reading. Archives are read as whole files (a file holds at most FILE_RECORDS records) and parsed by
-Content-Length. Each file gives a run of index lines sorted by URL key, timestamp and page.
+Reading. Archives are read as streams, a record at a time, and parsed by Content-Length. Each file gives
+a run of index lines sorted by URL key, timestamp and page, with the offset and length of its member.
 
-Merging. Runs are range-partitioned by that same key; in each range a loser tree merges the slices of
-the runs, comparing one head per run, so the result is globally ordered over the partitions: the
-capture history of each URL. The range includes timestamp and page, so one host or URL with a large
-share of all captures is spread over many ranges. Index lines stay in Arrow; the tree holds run heads.
+Merging. Runs are range-partitioned by that same key, then file and offset, into ranges of about RANGE_ROWS
+lines; in each range a loser tree merges the slices of the runs, comparing one head per run, so the
+result is globally ordered over the partitions: the capture history of each URL. No two lines have one key,
+so one host or URL with a large share of all captures is spread over many ranges, and a task holds one
+range of index lines, whatever the size of the corpus.
 
 Defined cases: a null html is an empty payload; a null url is empty; a null page_id is written as `null`
 and captured at the epoch of the series; rows that share the largest page_id of a group are all
-responses; blanks and control characters in a url are percent-encoded in headers; an empty table gives
-empty archives; other columns are ignored.
+responses; rows that share a page_id share their record id too; blanks and control characters in a url are
+percent-encoded in headers; a payload of any length is one record, held once at a time; an empty table gives no archives;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path, written
 
-FILE_RECORDS = 1000
+FILE_BYTES, RANGE_ROWS = 64 << 20, 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, first long, length long"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
@@ -47,8 +54,43 @@ def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """pages (page_id, url, html) -> WARC files below path."""
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def _appended(path: str):
+    """Writes each batch's records as gzip members -> a row (file, records, bytes) for each file that is complete."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _opened(path)
+        files.create_dir(folder, recursive=True)
+        name, count, size, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0, None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pylist([{"file": f"{path}/{file}", "records": count, "bytes": size}])
+
+        part = 0
+        for batch in batches:
+            for record in batch.column(0):
+                if out is None:
+                    file = f"{name}-{part:04d}.warc.gz"
+                    out = files.open_output_stream(f"{folder}/{file}", compression=None)
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = pack.compress(record.as_buffer()) + pack.compress(b"\r\n\r\n") + pack.flush()
+                out.write(member)
+                count, size = count + 1, size + len(member)
+                if size >= FILE_BYTES:
+                    yield closed()
+                    part, count, size, out = part + 1, 0, 0, None
+        if out is not None:
+            yield closed()
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
+    """pages (page_id, url, html) -> WARC files below path, and the table of them (file, records, bytes)."""
     page, html = F.col("page_id").cast("long"), F.coalesce("html", F.lit(""))
     rows = pages.select(page.alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
@@ -68,23 +110,43 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn(F.col("origin")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n" + HTTP), F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
-
-
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
-    """(headers, first byte, length, block) of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:stop].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        end = stop + 4 + int(head["Content-Length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield head, at, end + 4 - at, raw[stop + 4 : end]
-        at = end + 4
+    return written(rows.select(record.alias("record")).mapInArrow(_appended(path), "file string, records long, bytes long"), "archives")
+
+
+def members(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, length, content) of each gzip member of a stream."""
+    at, ahead = 0, b""
+    while ahead or (ahead := stream.read(chunk)):
+        unpack, parts, used = zlib.decompressobj(31), [], 0
+        while not unpack.eof:
+            if not ahead and not (ahead := stream.read(chunk)):
+                raise ValueError(f"the member at byte {at} has no end")
+            parts.append(unpack.decompress(ahead))
+            used += len(ahead) - len(unpack.unused_data)
+            ahead = unpack.unused_data
+        yield at, used, b"".join(parts)
+        at += used
+
+
+def record(raw: bytes, where: str = "") -> tuple[dict[str, str], bytes]:
+    """(headers, block) of a record."""
+    stop = raw.find(b"\r\n\r\n")
+    version, *lines = raw[: max(stop, 0)].decode().split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError(f"no record: {where}")
+    head = dict(x.split(": ", 1) for x in lines)
+    end = stop + 4 + int(head["Content-Length"])
+    if raw[end:] != b"\r\n\r\n":
+        raise ValueError(f"the record does not end where its length says: {where}")
+    return head, raw[stop + 4 : end]
+
+
+def read_record(file: str, first: int, length: int) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of the record at an index line's place, reading nothing else."""
+    files, path = _opened(file)
+    with files.open_input_file(path) as f:
+        f.seek(first)
+        return record(zlib.decompress(f.read(length), 31), f"{file} at byte {first}")
 
 
 def url_key(url: str) -> str:
@@ -103,22 +165,25 @@ def _page(urn: str | None) -> int | None:
 
 
 def _order(row: tuple) -> tuple:
-    return row[0], row[1], row[2] is not None, row[2] or 0
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, content) -> each archive's index lines, sorted; payloads are checked against their digests."""
+    """(file) -> each archive's index lines, sorted; payloads are checked against their digests."""
     for batch in batches:
-        for name, raw in zip(batch.column(0), batch.column(1), strict=True):
+        for file in batch.column(0).to_pylist():
             rows = []
-            for head, at, length, block in records(gzip.decompress(raw.as_py())):
-                digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"])
-                if head["WARC-Type"] == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    if (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, size):
-                        raise ValueError(f"{name}: the payload at byte {at} is damaged")
-                refers = _page(head.get("WARC-Refers-To"))
-                rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], _page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, name.as_py(), at, length))
+            files, path = _opened(file)
+            with files.open_input_stream(path, compression=None) as stream:
+                for at, length, raw in members(stream):
+                    head, block = record(raw, f"{file} at byte {at}")
+                    digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"])
+                    if head["WARC-Type"] == "response":
+                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        if (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, size):
+                            raise ValueError(f"{file}: the payload at byte {at} is damaged")
+                    refers = _page(head.get("WARC-Refers-To"))
+                    rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], _page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, file, at, length))
             rows.sort(key=_order)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
@@ -178,37 +243,25 @@ def merge_order(keys: Callable[[int], tuple], stretches: list[tuple[int, int]])
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range of the index: its rows come in slices of sorted runs, in any order."""
-    found = list(batches)
+    found = list(batches)  # about RANGE_ROWS rows
     if not sum(map(len, found)):
         return
-    rows = pa.Table.from_batches(found).combine_chunks()
-    columns = [rows.column(k).combine_chunks() for k in range(3)]
-    run = rows.column(_NAMES.index("run")).combine_chunks()
-
-    def key(i: int) -> tuple:
-        page = columns[2][i].as_py()
-        return columns[0][i].as_py(), columns[1][i].as_py(), page is not None, page or 0
-
-    stretches, begin, before, name = [], 0, key(0), run[0].as_py()
-    for i in range(1, len(rows)):
-        now, of = key(i), run[i].as_py()
-        if of != name or now < before:
-            stretches.append((begin, i))
-            begin = i
-        before, name = now, of
-    stretches.append((begin, len(rows)))
-    yield from rows.take(pa.array(merge_order(key, stretches))).combine_chunks().to_batches(max_chunksize=10_000)
+    rows = pa.Table.from_batches(found)
+    run = rows.column("run").to_pylist()
+    keys = [(u, t, p is not None, p or 0, r, f) for u, t, p, r, f in zip(*(rows.column(c).to_pylist() for c in ("url_key", "captured", "page_id")), run, rows.column("first").to_pylist(), strict=True)]
+    edges = [0, *(i for i in range(1, len(keys)) if run[i] != run[i - 1] or keys[i] < keys[i - 1]), len(keys)]
+    order = merge_order(keys.__getitem__, list(zip(edges, edges[1:], strict=False)))
+    yield from rows.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=10_000)
 
 
-def merged_index(spark: SparkSession, path: str) -> DataFrame:
-    """The archives' index in the order of URL key, timestamp and page, over all partitions."""
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    runs = written(archives.mapInArrow(_runs, INDEX), "runs")
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, INDEX)
+def merged_index(archives: DataFrame) -> DataFrame:
+    """archives (file, records) -> their index in the order of URL key, timestamp and page, over all partitions."""
+    files, lines = archives.agg(F.count("*"), F.sum("records")).first()
+    runs = written(archives.select("file").repartition(max(1, files)).mapInArrow(_runs, INDEX), "runs")
+    ranges = runs.repartitionByRange(max(1, -(-(lines or 0) // RANGE_ROWS)), "url_key", "captured", "page_id", "run", "first")
+    return ranges.mapInArrow(_merge, INDEX)
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes pages as WARC archives into the shared folder and returns their merged index."""
-    path = new_path(pages.sparkSession, "warc")
-    write_archives(pages, path, least)
-    return merged_index(pages.sparkSession, path)
+    return merged_index(write_archives(pages, new_path(pages.sparkSession, "warc"), least))
