@@ -145,10 +145,28 @@ def test_quality_model_on_held_out_rows(spark):
     model = train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     held = {g.doc_id: g.p_good for g in quality(d, model, repeat_percent=1000).collect() if g.doc_id >= 200}
     assert np.mean([(p >= 0.5) == (i % 3 > 0) for i, p in held.items()]) > 0.97
+    both = [(299, 1, 0), (299, 0, 0), *labels, *labels]  # 299 has labels of both classes, the others each twice
+    twice = train(d.union(d.where("doc_id < 50").withColumn("text", F.lit("~ later text"))), spark.createDataFrame(both, "doc_id long, quality int, toxic int"))
+    assert (twice.weights == model.weights).all() and (twice.slope, twice.shift, twice.bias) == (model.slope, model.shift, model.bias)
     assert train(d, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")) is None
     assert train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
 
 
+def test_probabilities_are_calibrated(spark):
+    """Quality is a coin whose bias the text shows: among rows with probability p, a share of about p is good."""
+    r = np.random.default_rng(6)
+    share = r.uniform(0.05, 0.95, 1500)
+    made = [(i, " ".join(np.where(r.random(80) < s, "gold", "lead")), "a") for i, s in enumerate(share)]
+    good = r.random(len(share)) < share
+    d = docs(spark, made)
+    model = train(d, spark.createDataFrame([(i, int(good[i]), 0) for i in range(1000)], "doc_id long, quality int, toxic int"))
+    p = np.array([g.p_good for g in sorted(quality(d, model, repeat_percent=1000).collect(), key=lambda g: g.doc_id)])[1000:]
+    assert abs(p.mean() - good[1000:].mean()) < 0.06
+    for low, high in ((0, 0.35), (0.35, 0.65), (0.65, 1)):
+        here = (p >= low) & (p < high)
+        assert here.sum() > 40 and abs(p[here].mean() - good[1000:][here].mean()) < 0.15
+
+
 def test_mixing(spark, odd, none):
     r = np.random.default_rng(9)
     made = [(i, "w " * int(r.integers(0, 40)), ["a", "b", "c", None][i % 4]) for i in range(400)] + [(900, None, "empty")]
@@ -195,6 +213,9 @@ def test_contamination(spark, odd, none):
     d = odd.unionByName(more)
     got = contamination(d, b).collect()
     assert Counter(tuple(g)[:6] for g in got) == Counter((r.doc_id, *(x := brute_hits(r.text, phrases)), x[1] > 0 and 20 * x[1] >= x[0]) for r in d.collect())
+    several = contamination(d, b, block_bytes=1, pass_bytes=30)  # many blocks, several passes
+    assert rows(several) == sorted(map(tuple, got), key=repr)
+    assert rows(keep_clean(d, b, block_bytes=1, pass_bytes=30)) == rows(keep_clean(d, b))
     clean = keep_clean(d, b)
     assert clean.columns == d.columns and clean.count() == sum(not g.contaminated for g in got)
     cut = contamination(more, b).join(more.select("doc_id", "text"), "doc_id").select("doc_id", without_spans(F.col("text"), F.col("spans")).alias("t"))

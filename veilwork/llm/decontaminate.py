@@ -8,12 +8,15 @@ phrase can hold no phrase and are left out of the index. Phrases are found by ba
 occurrences are located through sampled suffix positions, and their word spans are merged.
 
 Documents never leave their task, so nothing is shuffled and no passage, however common, makes a hot
-key. Phrases are sent to workers in blocks of at most BLOCK_BYTES of benchmark text; a larger
-benchmark makes more blocks, and each shard is searched for one block after another.
-
-Defined cases: null and empty texts have no words and no hits; equal item ids are one item; a null
-item id is an item named `null`; an item without words has no phrase; rows are independent, so
-repeated doc ids give a row each; an empty benchmark hits nothing; other columns are ignored.
+key. Phrases are broadcast in blocks of about BLOCK_BYTES of benchmark text, PASS_BYTES at a time; each
+shard is searched for one block after another. A larger benchmark takes several passes: what a pass found is written
+beside the documents, its blocks are dropped, and the next pass goes on from there. So neither a worker nor
+the driver holds more than PASS_BYTES of it, whatever its size.
+
+Defined cases: null and empty texts have no words and no hits; a text of any length is a shard of its own if it
+is larger than SHARD_BYTES; equal item ids are one item; a null item id is an item named `null`; an item without
+words has no phrase; rows are independent, so repeated doc ids give a row each; an empty benchmark hits nothing;
+empty tables give no rows; other columns are ignored or, in `keep_clean`, passed through.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .textkernel import ALNUM, LOWER, char_counts, gather, keep_rows, same_spans, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
+from .store import discard, written
+from .textkernel import ALNUM, LOWER, char_counts, gather, same_spans, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
-SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES, PASS_BYTES = 6 << 20, 16 << 20, 64 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
 
 
@@ -80,19 +85,22 @@ class Phrases:
         return symbol, known
 
 
-def phrase_blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcast phrases, a bounded block of benchmark text each."""
-    spark, out, items, texts, size = benchmark.sparkSession, [], [], [], 0
+def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int, pass_bytes: int) -> Iterator[list]:
+    """Broadcast phrases, in blocks of about block_bytes of benchmark text; a list of blocks for each pass, one at least."""
+    spark, out, items, texts, size, held = benchmark.sparkSession, [], [], [], 0, 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
         items.append(row[0])
         texts.append(row[1])
         size += len(row[1] or "")
-        if size > BLOCK_BYTES:
+        if size >= block_bytes:
             out.append(spark.sparkContext.broadcast(Phrases(items, texts, window)))
-            items, texts, size = [], [], 0
+            items, texts, size, held = [], [], 0, held + size
+        if held >= pass_bytes:
+            yield out
+            out, held = [], 0
     if items:
         out.append(spark.sparkContext.broadcast(Phrases(items, texts, window)))
-    return out
+    yield out
 
 
 def _occurrences(phrases: Phrases, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +134,17 @@ def _occurrences(phrases: Phrases, lower: np.ndarray, starts: np.ndarray, ends:
     return origin[index.locate(rows)], np.repeat(np.arange(len(n)), n)
 
 
-def _found(column: pa.Array, blocks: list, share: int) -> dict[str, pa.Array]:
+def _found(column: pa.Array, blocks: list, share: int, earlier: tuple[pa.Array, pa.Array] | None = None) -> dict[str, pa.Array]:
+    """What the documents' texts hold; earlier: word stretches (within a text) and items that earlier passes found."""
     data, off, starts, ends, at, hashes = _words(column)
     lower = LOWER[data]
     docs, cover = len(column), np.zeros(len(hashes) + 1, np.int64)
     items: dict[int, set[str]] = {}
+    for k, (stretches, names) in enumerate(zip(*(x.to_pylist() for x in earlier), strict=True) if earlier else ()):
+        for x in stretches:
+            cover[at[k] + x["word"]] += 1
+            cover[at[k] + x["stop"]] -= 1
+        items[k] = set(names)
     for block in blocks:
         phrases = block.value
         word, phrase = _occurrences(phrases, lower, starts, ends, hashes, at)
@@ -152,38 +166,72 @@ def _found(column: pa.Array, blocks: list, share: int) -> dict[str, pa.Array]:
     chars = char_counts(data)
     doc = np.searchsorted(at, begin, "right") - 1
     spans = pa.StructArray.from_arrays([pa.array(chars[starts[begin]] - chars[off[doc]]), pa.array(chars[ends[stop]] - chars[off[doc]])], ["start", "end"])
-    names = [",".join(sorted(items.get(k, ()))) for k in range(docs)]
+    lists = [sorted(items.get(k, ())) for k in range(docs)]
+    edges = pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32())
+    stretches = pa.StructArray.from_arrays([pa.array(begin - at[doc]), pa.array(stop + 1 - at[doc])], ["word", "stop"])
     return {
         "n_words": pa.array(n_words),
         "n_hit": pa.array(n_hit),
-        "n_items": pa.array([len(items.get(k, ())) for k in range(docs)], pa.int64()),
-        "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()),
+        "n_items": pa.array([len(x) for x in lists], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
         "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-        "spans": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32()), spans),
+        "spans": pa.ListArray.from_arrays(edges, spans),
+        "__hits": pa.ListArray.from_arrays(edges, stretches),
+        "__items": pa.array(lists, pa.list_(pa.string())),
     }
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, share: int, block_bytes: int, pass_bytes: int, last) -> DataFrame:
+    """`last` (batch, what was found) -> a batch, over the documents when all passes are made. docs has a column text."""
+    passes = phrase_blocks(benchmark, window, block_bytes, pass_bytes)
+    blocks = next(passes)
+    rows, columns, done = docs, docs.columns, []
+    for following in passes:
+        if rows is docs:
+            rows = rows.withColumn("__hits", F.expr("cast(array() as array<struct<word: long, stop: long>>)")).withColumn("__items", F.expr("cast(array() as array<string>)"))
+
+        def run(batches: Iterator[pa.RecordBatch], blocks: list = blocks) -> Iterator[pa.RecordBatch]:
+            for batch in sub_batches(batches, "text", SHARD_BYTES):
+                found = _found(batch.column("text"), blocks, share, (batch.column("__hits"), batch.column("__items")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found["__hits"], found["__items"]], [*columns, "__hits", "__items"])
+
+        rows = written(rows.mapInArrow(run, rows.schema), "searched")
+        for block in blocks:
+            block.unpersist()
+        discard(*done)
+        blocks, done = following, [rows]
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", SHARD_BYTES):
+            earlier = (batch.column("__hits"), batch.column("__items")) if "__hits" in batch.schema.names else None
+            yield last(batch, _found(batch.column("text"), blocks, share, earlier))
+
+    return rows.mapInArrow(end, docs.schema if last is _clean else RESULT)
+
+
+def _clean(batch: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n not in ("__hits", "__items")]
+    return batch.select(names).filter(pa.compute.invert(found["contaminated"]))
+
+
+def _told(batch: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in RESULT.split(", ")[1:7]]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(found[n] for n in names)], ["doc_id", *names])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> one row per document.
 
     n_hit: words inside any occurrence of a phrase; n_items: items with an occurring phrase;
     items_sha256: of their ids, sorted as strings and joined by commas; contaminated: some word is hit
     and share * n_hit >= n_words; spans: the merged removal spans, in code points.
     """
-    blocks = phrase_blocks(benchmark, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", SHARD_BYTES):
-            found = _found(batch.column(1), blocks, share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], ["doc_id", *found])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, share, block_bytes, pass_bytes, _told)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns, without a shuffle."""
-    blocks = phrase_blocks(benchmark, window)
-    return keep_rows(docs, lambda column: ~_found(column, blocks, share)["contaminated"].to_numpy(zero_copy_only=False))
+    return _searched(docs, benchmark, window, share, block_bytes, pass_bytes, _clean)
 
 
 def without_spans(text, spans):

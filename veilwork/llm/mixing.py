@@ -14,12 +14,15 @@ Scale. The order of a source's documents is by size class (eight to a doubling),
 sqrt(rows) / 8 hash buckets, then by size up or down in alternation, then doc_id. Neighbours are alike in
 size, so a source's taken words come near its target and not only its copies. Neither a bucket of the
 largest source nor the list of a source's buckets is large: prefix sums are taken within buckets and
-over buckets, never over a whole source in one task. Everything derives from ids, sizes and the seed,
-so reruns and retries agree.
-
-Defined cases: a null text has size 0; a source whose sizes are all 0 takes nothing; a null source is a
-source; rows that share an id are documents of their own, ordered by size; a null doc_id hashes
-like an empty one; an empty table gives no rows; other columns pass through `mixed` untouched.
+over buckets, never over a whole source in one task. Words are counted once, into a thin table (id,
+source, size, digest of the text); sums, ranks and copies are made on that, and whole rows are shuffled once,
+when they meet their copies. The table of sources (four numbers each) passes through one task.
+Everything derives from ids, texts and the seed, so reruns and retries agree.
+
+Defined cases: a null text has size 0, a text of any length is read whole; a source whose sizes are all 0
+takes nothing; a null source is a source; rows that share an id are documents of their own, ordered by size,
+then digest; rows that share id, source and text share what they are given, the first rows (in no given order) first; an empty
+table gives no rows; other columns pass through `mixed` untouched, names that begin with `__` excepted.
 """
 
 from __future__ import annotations
@@ -32,9 +35,13 @@ from .store import written
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def _hex(column: Column, begin: int, seed: str) -> Column:
-    """32 bits of an MD5 as a long."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(column.cast("string"), F.lit("")))), begin, 8), 16, 10).cast("long")
+def _hex(key: Column, begin: int, seed: str) -> Column:
+    """32 bits of an MD5 of the seed and a string as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), begin, 8), 16, 10).cast("long")
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -55,16 +62,15 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs -> all its columns in a struct `row`, and doc_id, source, size, source_size, target, copies."""
+    """docs -> doc_id, source, digest, size, source_size, target, copies; a thin row for each row of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    totals = written(totals, "sources")
+    thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), _digest().alias("digest")), "sizes")
+    totals = written(thin.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), "sources")
     n = totals.agg(F.sum("n")).first()[0] or 0
     buckets = int(n**0.5) // 8 + 1
-    bits = F.length(F.bin("size"))
-    grade = bits * 8 + F.pmod(F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))"), F.lit(8))
-    rows = rows.withColumn("bucket", grade * buckets + F.pmod(_hex(F.col("doc_id"), 1, seed), F.lit(buckets))).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    grade = F.length(F.bin("size")) * 8 + F.pmod(F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))"), F.lit(8))
+    lot = _hex(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("digest")), 1, seed)
+    rows = thin.withColumn("bucket", grade * buckets + F.pmod(lot, F.lit(buckets))).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
 
     held = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,12 +82,12 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     plan = plan.select(F.coalesce("source", F.lit("")).alias("key_"), F.col("source").isNull().alias("none_"), F.col("bucket").alias("bucket_"), "ahead", "source_size", "target", rate.alias("rate"), u.alias("u"))
 
     way = F.when(F.col("bucket") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    rank = F.row_number().over(Window.partitionBy("key", "none", "bucket").orderBy(way, "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "none", "bucket").orderBy(way, "doc_id", "digest"))
     ranked = rows.withColumn("rank", rank)
     both = ranked.join(plan, (F.col("key") == F.col("key_")) & (F.col("none") == F.col("none_")) & (F.col("bucket") == F.col("bucket_")))
     upto = lambda k: F.floor(k * F.col("rate") + F.col("u"))
     copies = (upto(F.col("ahead") + F.col("rank")) - upto(F.col("ahead") + F.col("rank") - 1)).cast("long")
-    return both.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return both.select("doc_id", "source", "digest", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixing_report(docs: DataFrame, **how) -> DataFrame:
@@ -92,5 +98,12 @@ def mixing_report(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix: every document as often as it is taken, with the columns of docs."""
-    plan = mixing_plan(docs, **how).where("copies > 0")
-    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    plan = mixing_plan(docs.select("doc_id", "text", "source"), **how)
+    key = lambda *parts: F.coalesce(F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})), F.lit(""))  # noqa: E731  never null
+    given = plan.groupBy(key("doc_id", "source", "digest").alias("__of")).agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).where("__all > 0")
+    rows = docs.withColumn("__key", key(F.col("doc_id").cast("long").alias("doc_id"), "source", _digest().alias("digest")))
+    rows = rows.join(given, F.col("__key") == F.col("__of"))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # 1 but for repeated rows; by the join's own shuffle and sort
+    upto = lambda k: F.floor((k * F.col("__all") + F.col("__rows") - 1) / F.col("__rows"))
+    rows = rows.withColumn("__place", place).withColumn("__copies", (upto(F.col("__place")) - upto(F.col("__place") - 1)).cast("int"))
+    return rows.select(F.explode(F.array_repeat(F.struct(*docs.columns), F.col("__copies"))).alias("__row")).select("__row.*")

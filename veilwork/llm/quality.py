@@ -8,9 +8,11 @@ hashes of doc_id first); a fifth of the sample is held out to fit Platt's sigmoi
 back to the labels' class shares, so the result is a probability for rows as they come. A document is
 kept if it passes the base rules and its probability of good quality reaches the fixed threshold.
 
-Defined cases: a null text has no words (and fails the base rules); labels with a null id or quality
-are not used; without labels of both classes there is no model and the base rules decide alone; rows
-are independent, so repeated ids give a row each; other columns are ignored.
+Defined cases: a null text has no words (and fails the base rules); a text of any length is read whole; labels with a
+null id or quality are not used, nor those of an id that has labels of both classes; equal labels of an id count
+once, and of documents that share a labelled id the least text is trained on; without labels of both classes there is
+no model and the base rules decide alone; rows are independent, so repeated ids give a row each; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,13 +168,15 @@ def fit(index: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, weight:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """The model from at most per_class labelled rows of each class; None if a class has none."""
     good = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality"))
+    good = good.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     total = {r[0]: r[1] for r in good.groupBy("quality").count().collect()}
     if set(total) != {0, 1}:
         return None
     hashed = good.withColumn("h", F.xxhash64("doc_id"))
     picked = [hashed.where(F.col("quality") == c).orderBy("h", "doc_id").limit(per_class) for c in (0, 1)]
     sample = picked[0].union(picked[1]).select(F.col("doc_id").alias("of"), "quality", F.pmod("h", F.lit(5)).cast("int").alias("bucket"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("quality", "bucket", "text")  # 2 * per_class rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of"))  # 2 * per_class rows at most
+    rows = rows.groupBy("of", "quality", "bucket").agg(F.min("text").alias("text")).drop("of")
     found = rows.mapInArrow(_sparse, "quality int, bucket int, index array<int>, value array<float>").toArrow()
     y = found.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):

@@ -99,7 +99,7 @@ def op4_quality_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
 n AS (SELECT *, 2.0::DOUBLE * source_size AS stop, 2.0::DOUBLE * source_size / w AS needs FROM w),
@@ -108,10 +108,10 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVE
   row_number() OVER (ORDER BY needs, source NULLS LAST) AS pos FROM n),
 t AS (SELECT source, source_size, least(stop, w * (SELECT arg_min(level, pos) FROM l WHERE level <= needs)) AS target FROM l),
 m AS (SELECT floor(sqrt(count(*)))::BIGINT // 8 + 1 AS n FROM d),
-b AS (SELECT d.*, (length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8) * m.n + ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % m.n AS bucket FROM d, m),
+b AS (SELECT d.*, (length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8) * m.n + ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || ' ' || digest), 1, 8))::BIGINT % m.n AS bucket FROM d, m),
 r AS (SELECT b.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
   ('0x' || substr(md5('mix' || coalesce(b.source, '')), 9, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-  row_number() OVER (PARTITION BY b.source ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, doc_id) AS k
+  row_number() OVER (PARTITION BY b.source ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, doc_id, digest) AS k
   FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(k * rate + u) - floor((k - 1) * rate + u)) * size)::BIGINT AS taken FROM r""")
 def op5_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
