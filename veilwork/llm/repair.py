@@ -9,8 +9,10 @@ document its id, token count and symbol count; prefix sums over expansion length
 without decoding what stands before it.
 
 Many pairs are replaced in a round (instead of one), those that are at least a tenth as frequent as the
-50th, so that a round is a few vector operations. Pairs are counted in hashed slots, where of two pairs in
-one slot one waits for a later round; once that finds nothing more, pairs are counted exactly.
+50th, so that a round is a few vector operations. Only open places are looked at again: a pair that was counted
+fewer than `least` times cannot become more frequent, so after a round those next to a new symbol are open, and
+those of frequent pairs that were not replaced. Many open places are counted in hashed slots, where of two pairs
+in one slot one stays open for the next round; few are counted by sorting.
 
 Block layout, little-endian: magic `GRB2`; six uint32 (documents, first nonterminal, rules, symbols, bits a
 symbol, bytes a length: 2 or 4); uint64 tokens; int64 doc ids; uint8 null flags of doc ids; uint32 tokens and
@@ -34,22 +36,20 @@ MAGIC = b"GRB2"
 HEAD = struct.Struct("<4s6IQ")
 SLOTS = 1 << 18
 _SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-_NO_PAIR = np.uint64((1 << 64) - 1)
+#: Open places that are counted by sorting, at most.
+FEW = 1 << 16
 
 
 def _counted(keys: np.ndarray, turn: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, their counts, the number of the pair at each place or -1)."""
-    real = keys != _NO_PAIR
+    """(pairs, their counts, the number of the pair at each place, -1 if it was not counted)."""
     if exact:
         names, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        counts = np.where(names == _NO_PAIR, 0, counts)
-    else:
-        number = (keys * np.uint64(_SPREAD[turn % 4]) >> np.uint64(46)).astype(np.int32)
-        names = np.zeros(SLOTS, np.uint64)
-        names[number] = keys
-        real &= names[number] == keys
-        counts = np.bincount(number[real], minlength=SLOTS)
-    return names, counts, np.where(real, number, -1)
+        return names, counts, number
+    number = (keys * np.uint64(_SPREAD[turn % 4]) >> np.uint64(46)).astype(np.int32)
+    names = np.zeros(SLOTS, np.uint64)
+    names[number] = keys
+    number[names[number] != keys] = -1
+    return names, np.bincount(number[number >= 0], minlength=SLOTS), number
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,20 +60,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 4) -> t
     x = ids.astype(np.uint32)  # a copy
     last = np.zeros(len(x), bool)
     last[ends[ends > 0] - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    turn, exact = 0, False
-    while len(x) > 1:
-        keys = (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
-        keys[last[:-1]] = _NO_PAIR
-        names, counts, number = _counted(keys, turn, exact)
+    open_ = ~last  # places whose pair with the next symbol may be frequent
+    rules, turn, exact, every = np.zeros((0, 2), np.uint32), 0, False, False
+    while len(at := np.flatnonzero(open_)):
+        exact = exact or len(at) <= FEW
+        names, counts, number = _counted((x[at].astype(np.uint64) << np.uint64(32)) | x[at + 1], turn, exact)
         turn += 1
-        often = np.partition(counts, -50)[-50] // 10 if len(counts) > 50 and not exact else 0
+        often = np.partition(counts, -50)[-50] // 10 if len(counts) > 50 and not every else 0
         good = np.flatnonzero(counts >= max(least, often))
-        rule_of = np.full(len(names) + 1, -1, np.int32)  # the last entry is for places without a pair
+        rule_of = np.full(len(names) + 1, -1, np.int32)  # the last entry is for places that were not counted
         rule_of[good] = np.arange(len(good))
         rule = rule_of[number]
-        place = np.flatnonzero(rule >= 0)
-        rule = rule[place]
+        chosen = rule >= 0
+        place, rule = at[chosen], rule[chosen]
         fresh = np.ones(len(place), bool)
         fresh[1:] = place[1:] != place[:-1] + 1
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
@@ -81,18 +80,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 4) -> t
         place, rule = place[odd == 0], rule[odd == 0]
         pays = np.bincount(rule, minlength=len(good)) >= least
         if not pays.any():
-            if exact:
+            if every:
                 break
-            exact = True
+            exact = every = True  # once more: all pairs, counted exactly
             continue
         place, rule = place[pays[rule]], rule[pays[rule]]
+        open_[at] = np.append(counts >= least, True)[number]
         x[place] = (first + len(rules) + (np.cumsum(pays) - 1)[rule]).astype(np.uint32)
+        last[place] = last[place + 1]
+        open_[np.maximum(place - 1, 0)] = open_[place] = True
         keep = np.ones(len(x), bool)
         keep[place + 1] = False
-        last[place] |= last[place + 1]
-        x, last = x[keep], last[keep]
-        chosen = names[good[pays]]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        x, last, open_ = x[keep], last[keep], open_[keep]
+        open_ &= ~last
+        pairs, exact, every = names[good[pays]], False, False
+        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
     stops = np.flatnonzero(last) + 1
     sizes = np.zeros(len(ends), np.int64)
     sizes[np.diff(ends, prepend=0) > 0] = np.diff(stops, prepend=0)
