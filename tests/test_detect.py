@@ -1,6 +1,7 @@
 """Rules, lists and columns: what they find in short texts, all in one job."""
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from veilwork.operators.detect import detect
@@ -80,3 +81,18 @@ def test_stack_survives_long_texts(spark):
     long = ["a" * 150_000, "a-" * 50_000 + "a", "a." * 60_000 + "b@" + "c." * 50_000 + "de", "x " * 60_000 + "straat 1", "9" * 120_000, "[[A_001]]" * 3000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
     assert detect(docs).select(F.sum(F.size("spans"))).first()[0] >= 1
+
+
+def test_marks_of_matching_may_stand_in_texts(spark):
+    """The noncharacters that mark matches are text like any other; a group's value is cut from the text."""
+    from veilwork.operators.matching import BEGIN, GROUP, STAND_IN, STOP, matches
+
+    texts = ["a1 b22", f"{BEGIN}a1{GROUP}b{STOP}2 c3", f"x{STOP}{STAND_IN}9", "", "none", "é漢😀7 é8"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    pattern = r"[\p{L}\p{Cn}\p{So}]*(\d)"
+    got = {r.i: [tuple(s) for s in r.s] for r in d.select("i", matches(F.col("t"), pattern).alias("s")).collect()}
+    inner = {r.i: [tuple(s) for s in r.s] for r in d.select("i", matches(F.col("t"), pattern, 1).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        found = [(m.start(), m.end(), m[0], m.start(1)) for m in regex.finditer(pattern, t)]
+        assert got[i] == [x[:3] for x in found]
+        assert inner[i] == [(p, p + 1, t[p]) for *_, p in found]

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .textops import WS
 
 # Letters and digits of an IBAN by country.
-IBAN_LENGTHS = dict(
-    x.split(":")
-    for x in (
-        "AL:28 AD:24 AT:20 AZ:28 BH:22 BE:16 BA:20 BR:29 BG:22 CR:22 HR:21 CY:28 CZ:24 DK:18 DO:28 EE:20 FO:18 FI:18 FR:27 GE:22 DE:22 GI:23 "
-        "GR:27 GL:18 GT:28 HU:28 IS:26 IE:22 IL:23 IT:27 JO:30 KZ:20 XK:20 KW:30 LV:21 LB:28 LI:21 LT:20 LU:20 MK:19 MT:31 MR:27 MU:30 MD:24 "
-        "MC:27 ME:22 NL:18 NO:15 PK:24 PS:29 PL:28 PT:25 QA:29 RO:24 SM:27 SA:24 RS:22 SK:24 SI:19 ES:24 SE:24 CH:21 TN:24 TR:26 AE:23 GB:22 VG:24"
-    ).split()
-)
+IBAN_LENGTHS = {
+    "AL": 28, "AD": 24, "AT": 20, "AZ": 28, "BH": 22, "BE": 16, "BA": 20, "BR": 29, "BG": 22, "CR": 22, "HR": 21, "CY": 28, "CZ": 24, "DK": 18, "DO": 28, "EE": 20,
+    "FO": 18, "FI": 18, "FR": 27, "GE": 22, "DE": 22, "GI": 23, "GR": 27, "GL": 18, "GT": 28, "HU": 28, "IS": 26, "IE": 22, "IL": 23, "IT": 27, "JO": 30, "KZ": 20,
+    "XK": 20, "KW": 30, "LV": 21, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "MK": 19, "MT": 31, "MR": 27, "MU": 30, "MD": 24, "MC": 27, "ME": 22, "NL": 18, "NO": 15,
+    "PK": 24, "PS": 29, "PL": 28, "PT": 25, "QA": 29, "RO": 24, "SM": 27, "SA": 24, "RS": 22, "SK": 24, "SI": 19, "ES": 24, "SE": 24, "CH": 21, "TN": 24, "TR": 26,
+    "AE": 23, "GB": 22, "VG": 24,
+}
 # Month names and abbreviations, English and Dutch.
 MONTHS = {
     "january": 1, "jan": 1, "januari": 1, "february": 2, "feb": 2, "februari": 2, "march": 3, "mar": 3, "maart": 3, "april": 4, "apr": 4, "may": 5, "mei": 5,
@@ -28,7 +29,7 @@ def _lookup(key: Column, table: dict) -> Column:
     out = F.lit(None).cast("int")
     by_value: dict = {}
     for k, v in table.items():
-        by_value.setdefault(int(v), []).append(k)
+        by_value.setdefault(v, []).append(k)
     for v, keys in by_value.items():
         out = F.when(key.isin(keys), v).otherwise(out)
     return out
@@ -50,38 +51,51 @@ def real_date(day: Column, month: Column, year: Column) -> Column:
     return fits & (day <= most)
 
 
-def _parts(value: Column) -> tuple[Column, Column, Column]:
-    p = F.split(value, "[/.-]")
-    return tuple(F.get(p, F.lit(k)).try_cast("int") for k in range(3))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(value: Column) -> Column:
+    """The three numbers of a date."""
+    return bound(F.split(value, "[/.-]"), lambda p: F.struct(*(F.get(p, F.lit(k)).try_cast("int").alias("abc"[k]) for k in range(3))))
 
 
 def valid_numeric_date(value: Column) -> Column:
     """Year first, or day and month in either order; four-digit years."""
-    a, b, c = _parts(value)
-    return F.when(value.rlike("^[0-9]{4}[/.-]"), real_date(c, b, a)).otherwise(real_date(a, b, c) | real_date(b, a, c))
+    return bound(_parts(value), lambda p: F.when(value.rlike("^[0-9]{4}[/.-]"), real_date(p["c"], p["b"], p["a"])).otherwise(real_date(p["a"], p["b"], p["c"]) | real_date(p["b"], p["a"], p["c"])))
 
 
 def valid_birth_date(value: Column) -> Column:
     """As a numeric date; a two-digit year up to 49 is of this century."""
-    a, b, c = _parts(value)
-    year = F.when(value.rlike("[/.-][0-9]{2}$"), F.when(c <= 49, c + 2000).otherwise(c + 1900)).otherwise(c)
-    return F.when(value.rlike("^[0-9]{4}[/.-]"), real_date(c, b, a)).when(value.rlike("[/.-](?:[0-9]{2}|[0-9]{4})$"), real_date(a, b, year) | real_date(b, a, year)).otherwise(F.lit(False))
+    short = F.length(F.regexp_extract(value, "[/.-]([0-9]{2}|[0-9]{4})$", 1))  # digits of a year that comes last
+
+    def judged(p: Column) -> Column:
+        c = p["c"]
+        year = F.when(p["n"] == 2, F.when(c <= 49, c + 2000).otherwise(c + 1900)).otherwise(c)
+        last = bound(year, lambda y: real_date(p["a"], p["b"], y) | real_date(p["b"], p["a"], y))
+        return F.when(value.rlike("^[0-9]{4}[/.-]"), real_date(c, p["b"], p["a"])).when(p["n"] > 0, last).otherwise(F.lit(False))
+
+    return bound(bound(_parts(value), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["c"].alias("c"), short.alias("n"))), judged)
 
 
 def _month(word: Column) -> Column:
     return _lookup(F.lower(word), MONTHS)
 
 
+def _dated(value: Column, shape: str, day: int, month: int) -> Column:
+    parts = F.struct(F.regexp_extract(value, shape, day).try_cast("int").alias("d"), _month(F.regexp_extract(value, shape, month)).alias("m"), F.regexp_extract(value, shape, 3).try_cast("int").alias("y"))
+    return bound(parts, lambda p: real_date(p["d"], p["m"], p["y"]))
+
+
 def valid_day_month(value: Column) -> Column:
     shape = rf"(?iu)^([0-9]{{1,2}})(?:st|nd|rd|th)?{WS}+([^\s,.]+)\.?{WS}*,?{WS}*([0-9]{{4}})$"
-    day, month, year = (F.regexp_extract(value, shape, k) for k in (1, 2, 3))
-    return real_date(day.try_cast("int"), _month(month), year.try_cast("int"))
+    return _dated(value, shape, 1, 2)
 
 
 def valid_month_day(value: Column) -> Column:
     shape = rf"(?iu)^([^\s,.]+)\.?{WS}+([0-9]{{1,2}})(?:st|nd|rd|th)?{WS}*,?{WS}*([0-9]{{4}})$"
-    month, day, year = (F.regexp_extract(value, shape, k) for k in (1, 2, 3))
-    return real_date(day.try_cast("int"), _month(month), year.try_cast("int"))
+    return _dated(value, shape, 2, 1)
 
 
 def valid_bsn(value: Column) -> Column:

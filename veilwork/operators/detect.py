@@ -30,6 +30,9 @@ def detect(docs: DataFrame, text: str = "text", lists: NameLists | None = None,
     return docs.withColumn("__candidates", candidates(body, lists, columns)).withColumn(into, resolve_overlaps(body, F.col("__candidates"))).drop("__candidates")
 
 
-def long_spans(docs: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
-    """One row per span."""
-    return docs.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
+def long_spans(docs: DataFrame, *keys: str, spans: str | Column = "spans") -> DataFrame:
+    """One row per span.
+
+    A plain `explode` would make Spark infer a filter on the spans' number and compute all of them once more in it.
+    """
+    return docs.select(*keys, F.explode_outer(spans).alias("s")).where("s is not null").select(*keys, "s.*")

@@ -1,7 +1,10 @@
 """Regular-expression matches with their places, in one row and without a UDF.
 
-`split` gives the text between matches and `regexp_extract_all` the matches; running lengths of both
-give each match's place. A literal or cheap guard keeps texts without a hit from being scanned again.
+One pass of `regexp_replace` sets marks before and behind each match (and behind a copy of its group); splitting
+at the marks gives the gaps and the matches, and running lengths of both give each match's place. The marks are
+noncharacters of Unicode; where a text holds such a one, another noncharacter, which no pattern tells from it,
+stands in for it while matching, and values are cut from the text itself. Texts without a match are scanned once
+(`rlike` makes no copy), and not even that if a cheaper guard fails.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUND = "array<struct<start:int,end:int,value:string>>"
+PLACED = "array<struct<at:int,m:string,g:string>>"
+BEGIN, GROUP, STOP, STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 
 def none_found(kind: str = FOUND) -> Column:
@@ -29,21 +34,29 @@ def matches(text: Column, pattern: str, group: int = 0, trim: Callable[[Column],
     group: the value is this group, at its last place inside the match. trim: shortens a value from
     the right. test: keeps a value; it sees the trimmed one. Scanning goes on after the whole match.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), whole.alias("m"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), none_found("array<struct<at:int,m:string,v:string>>").alias("out"))
+    marked = F.regexp_replace(F.translate(text, BEGIN + GROUP + STOP, STAND_IN * 3), F.lit(pattern), F.lit(f"{BEGIN}$0{GROUP}{f'${group}' if group else ''}{STOP}"))
+    parts = F.split(marked, BEGIN)
+    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none_found(PLACED).alias("out"))
 
     def step(done: Column, x: Column) -> Column:
-        at = done["at"] + x["g"]
-        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(done["out"], F.array(F.struct(at.alias("at"), x["m"].alias("m"), x["v"].alias("v")))).alias("out"))
+        """x: match, mark, group, mark, the gap behind it."""
+        found = F.struct(done["at"].alias("at"), F.substring_index(x, GROUP, 1).alias("m"), F.substring_index(F.substring_index(x, STOP, 1), GROUP, -1).alias("g"))
+        after = F.length(x) - F.length(found["g"]) - 2
+        return F.struct((done["at"] + after).alias("at"), F.concat(done["out"], F.array(found)).alias("out"))
 
-    placed = F.aggregate(zipped, start, step)["out"]
+    placed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"]
+
+    def cut(x: Column) -> Column:
+        """at, m, v: place and text of the match, the value in it; as they stand in the text."""
+        whole = F.substring(text, x["at"] + 1, F.length(x["m"]))
+        value = F.substring(whole, last_place(x["m"], x["g"]) + 1, F.length(x["g"])) if group else whole
+        return F.struct(x["at"].alias("at"), x["m"].alias("m"), x["g"].alias("g"), value.alias("v"))
+
+    placed = F.transform(placed, cut)
 
     def span(x: Column) -> Column:
         kept = trim(x["v"]) if trim else x["v"]
-        begin = x["at"] + (last_place(x["m"], x["v"]) if group else F.lit(0))
+        begin = x["at"] + (last_place(x["m"], x["g"]) if group else F.lit(0))
         return F.struct(begin.alias("start"), (begin + F.length(kept)).alias("end"), kept.alias("value"))
 
     spans = F.filter(F.transform(placed, span), lambda s: (F.length(s["value"]) > 0) & (F.coalesce(test(s["value"]), F.lit(False)) if test else F.lit(True)))

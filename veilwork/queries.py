@@ -42,8 +42,7 @@ def query(oracle: str = "") -> Callable:
 def rule_rows(df: DataFrame, key: str, text: Column, *rules: str) -> DataFrame:
     """Spans that the named rules alone resolve to, one a row."""
     rows = df.select(key, F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.select(key, F.explode(resolve_overlaps(F.col("text"), regex_candidates(F.col("text"), list(rules)))).alias("s"))
-    return rows.select(key, *(F.col("s")[c].alias(c) for c in REPORTED))
+    return long_spans(rows, key, spans=resolve_overlaps(F.col("text"), regex_candidates(F.col("text"), list(rules)))).select(key, *REPORTED)
 
 
 def duck_matches(table_: str, key: str, text: str, pattern: str) -> str:
@@ -214,8 +213,8 @@ _WORDS = r"\p{L}[\p{L}\p{M}]*(?:[''’-]\p{L}[\p{L}\p{M}]*)*"
 
 @query(f"SELECT doc_id, {_SPAN} FROM ({duck_matches('conversations', 'conv_id * 100 + turn AS doc_id', 'text', _WORDS).replace('SELECT conv_id * 100 + turn AS doc_id, (', 'SELECT doc_id, (').replace('(SELECT conv_id * 100 + turn AS doc_id, m, g,', '(SELECT doc_id, m, g,')})")
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.explode(matches(F.col("text"), WORD)).alias("s"))
-    return rows.select("doc_id", "s.start", "s.end", "s.value")
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
+    return long_spans(rows, "doc_id", spans=matches(F.col("text"), WORD))
 
 
 @query(f"""
