@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from ..functions.textops import fold_text
 
 # Header spellings and limits of a name list.
@@ -104,3 +108,20 @@ def parse_names(text: str | None) -> list[tuple[str, str]]:
             out[unicodedata.normalize("NFC", a), unicodedata.normalize("NFC", b)] = None
     check_names([*out])
     return [*out]
+
+
+def name_records(lists: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """lists (key, text of a whole list) -> key, first, last, error; a row a record, or one row with an error code for a list beyond its limits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, body in zip(batch[key], batch[text], strict=True):
+                try:
+                    rows += [(k, a, b, None) for a, b in parse_names(body)]
+                except ListError as x:
+                    rows.append((k, None, None, x.code))
+            yield pd.DataFrame(rows, columns=[key, "first", "last", "error"])
+
+    kind = lists.schema[key].dataType.simpleString()
+    return lists.select(key, text).mapInPandas(run, f"{key} {kind}, first string, last string, error string")
