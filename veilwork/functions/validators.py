@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textops import WS
+from .textops import WS, bound
 
 # Letters and digits of an IBAN by country.
 IBAN_LENGTHS = {
@@ -51,11 +51,6 @@ def real_date(day: Column, month: Column, year: Column) -> Column:
     return fits & (day <= most)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _parts(value: Column) -> Column:
     """The three numbers of a date."""
     return bound(F.split(value, "[/.-]"), lambda p: F.struct(*(F.get(p, F.lit(k)).try_cast("int").alias("abc"[k]) for k in range(3))))
@@ -137,13 +132,20 @@ def clean_url(value: Column) -> Column:
     """Without closing punctuation, then without closing brackets that nothing opens."""
     out = F.regexp_replace(value, "[.,;:!?]+$", "")
     for open_, close in ("()", "[]", "{}"):
-        run = F.length(F.regexp_extract(out, "\\" + close + "*$", 0))
-        count = lambda c, out=out: F.length(out) - F.length(F.replace(out, F.lit(c), F.lit("")))
-        extra = F.greatest(F.lit(0), F.least(run, count(close) - count(open_)))
-        out = F.substring(out, F.lit(1), F.length(out) - extra)
+        out = bound(out, _unclosed(open_, close))
     return out
 
 
+def _unclosed(open_: str, close: str) -> Callable[[Column], Column]:
+    def cut(value: Column) -> Column:
+        run = F.length(F.regexp_extract(value, "\\" + close + "*$", 0))
+        count = lambda c: F.length(value) - F.length(F.replace(value, F.lit(c), F.lit("")))
+        extra = F.greatest(F.lit(0), F.least(run, count(close) - count(open_)))
+        return F.substring(value, F.lit(1), F.length(value) - extra)
+
+    return cut
+
+
 def phone_trim(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?:{WS}|[.,;:])+$", "")
 

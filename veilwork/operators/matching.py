@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.textops import bound
+
 FOUND = "array<struct<start:int,end:int,value:string>>"
 PLACED = "array<struct<at:int,m:string,g:string>>"
 BEGIN, GROUP, STOP, STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
@@ -35,8 +37,6 @@ def matches(text: Column, pattern: str, group: int = 0, trim: Callable[[Column],
     the right. test: keeps a value; it sees the trimmed one. Scanning goes on after the whole match.
     """
     marked = F.regexp_replace(F.translate(text, BEGIN + GROUP + STOP, STAND_IN * 3), F.lit(pattern), F.lit(f"{BEGIN}$0{GROUP}{f'${group}' if group else ''}{STOP}"))
-    parts = F.split(marked, BEGIN)
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none_found(PLACED).alias("out"))
 
     def step(done: Column, x: Column) -> Column:
         """x: match, mark, group, mark, the gap behind it."""
@@ -44,21 +44,16 @@ def matches(text: Column, pattern: str, group: int = 0, trim: Callable[[Column],
         after = F.length(x) - F.length(found["g"]) - 2
         return F.struct((done["at"] + after).alias("at"), F.concat(done["out"], F.array(found)).alias("out"))
 
-    placed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"]
+    def placed(parts: Column) -> Column:
+        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none_found(PLACED).alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"]
 
     def cut(x: Column) -> Column:
-        """at, m, v: place and text of the match, the value in it; as they stand in the text."""
-        whole = F.substring(text, x["at"] + 1, F.length(x["m"]))
-        value = F.substring(whole, last_place(x["m"], x["g"]) + 1, F.length(x["g"])) if group else whole
-        return F.struct(x["at"].alias("at"), x["m"].alias("m"), x["g"].alias("g"), value.alias("v"))
-
-    placed = F.transform(placed, cut)
-
-    def span(x: Column) -> Column:
-        kept = trim(x["v"]) if trim else x["v"]
+        """The span of a match's value, as it stands in the text."""
         begin = x["at"] + (last_place(x["m"], x["g"]) if group else F.lit(0))
-        return F.struct(begin.alias("start"), (begin + F.length(kept)).alias("end"), kept.alias("value"))
+        value = F.substring(text, begin + 1, F.length(x["g"] if group else x["m"]))
+        return bound(trim(value) if trim else value, lambda v: F.struct(begin.alias("start"), (begin + F.length(v)).alias("end"), v.alias("value")))
 
-    spans = F.filter(F.transform(placed, span), lambda s: (F.length(s["value"]) > 0) & (F.coalesce(test(s["value"]), F.lit(False)) if test else F.lit(True)))
+    spans = F.filter(F.transform(bound(F.split(marked, BEGIN), placed), cut), lambda s: (F.length(s["value"]) > 0) & (F.coalesce(test(s["value"]), F.lit(False)) if test else F.lit(True)))
     there = text.rlike(pattern)
     return F.when((guard & there) if guard is not None else there, spans).otherwise(none_found())
