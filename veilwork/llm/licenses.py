@@ -17,7 +17,8 @@ of all files is one row until the last join, whose sides Spark can split.
 
 Defined cases: null and empty texts have no license; ties between templates go to the first name, ties
 between license files of a directory to the more similar, then the lesser name, then the lesser path; a null path has no
-directory and inherits nothing; rows are independent and repeated rows stay; other columns are ignored.
+directory and inherits nothing; texts of any length are compared whole; rows are independent and repeated rows stay; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import WHOLE
+from .store import written
 from .textkernel import sub_batches
 
 # Short notices as they stand in files, by SPDX name.
@@ -199,7 +201,7 @@ def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 def inherit(files: DataFrame) -> DataFrame:
     """files (doc_id, path, own_license, similarity, is_license_file) -> adds license and inherited_from (a directory)."""
     folder = F.regexp_replace("path", "(^|/)[^/]*$", "")
-    files = files.withColumn("folder", folder)
+    files = written(files.withColumn("folder", folder), "licenses")  # read three times below
     held = files.where("is_license_file and own_license is not null and path is not null")
     rank = F.struct((-F.col("similarity")).alias("s"), F.col("own_license").alias("l"), F.col("path").alias("p"))
     held = held.groupBy(F.col("folder").alias("of")).agg(F.min(rank)["l"].alias("found"))
@@ -208,5 +210,6 @@ def inherit(files: DataFrame) -> DataFrame:
     above = files.where("path is not null").select("folder").distinct().select("folder", F.explode(depth).alias("depth")).withColumn("of", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
     near = above.join(held, "of").groupBy("folder").agg(F.max(F.struct("depth", "of", "found")).alias("n"))
     near = near.select(F.col("folder").alias("in"), F.length("folder").alias("size"), F.col("n.of").alias("from"), F.col("n.found").alias("found"))
+    # The length is a second key: so Spark shuffles both sides for this join and can split a directory with many files.
     both = files.join(near, (F.col("folder") == F.col("in")) & (F.length("folder") == F.col("size")), "left")
     return both.select("doc_id", "path", "own_license", "similarity", F.coalesce("own_license", "found").alias("license"), F.when(F.col("own_license").isNull(), F.col("from")).alias("inherited_from"))
