@@ -11,12 +11,13 @@ A candidate is one of these; whatever is no secret is left to the forest.
 
 Text before a run in a PEM private key is the key's first line, so each of its lines is announced. Features:
 length, character classes, transitions between classes, letter-pair plausibility, dictionary coverage,
-entropy, shape (hexadecimal, UUID, path-like, known start), the path it comes from, and the words just before it. The forest is trained from labelled findings (candidate, words before, path, label);
-`labelled_findings` makes such a table from stated rules with a seed, and a caller may pass its own.
+entropy, shape (hexadecimal, UUID, path-like, known start), the path it comes from, and the words beside it: those
+within AROUND bytes before and behind. The forest is trained from labelled findings (candidate, words before, words
+behind, path, label); `labelled_findings` makes such a table from stated rules with a seed, and a caller may pass its own.
 
 Defined cases: null and empty texts have no candidates; candidates are found in whole texts of any
-length; rows are independent, so repeated ids repeat their findings; a null path is empty; other
-columns are ignored; findings carry a digest of the candidate, not the candidate.
+length; rows are independent, so repeated ids repeat their findings; a null path is empty; an empty table gives no
+rows; other columns are ignored; findings carry a digest of the candidate, not the candidate.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .textkernel import char_counts, sub_batches, table, text_buffers, word_bounds
 
-LEAST, LEAST_TOLD, AROUND = 16, 4, 48
+LEAST, LEAST_TOLD, AROUND = 16, 4, 64
 _RUN = table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 _RUN[list(b"_+/.-")] = True
 
@@ -73,7 +74,7 @@ def _told(before: str) -> tuple[bool, bool]:
     return bool(m), bool(m) and any(c in m["given"] for c in "=:")
 
 
-def features(value: str, before: str, path: str) -> list[float]:
+def features(value: str, before: str, after: str, path: str) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     share = [kinds.count(k) / n for k in "dulo"]
@@ -89,13 +90,14 @@ def features(value: str, before: str, path: str) -> list[float]:
             at = low.find(word, at + 1)
     counts = [low.count(c) / n for c in set(low)]
     entropy = -sum(p * math.log2(p) for p in counts)
-    near, where = before.lower(), path.lower()
+    near, behind, where = before.lower(), after.lower(), path.lower()
     return [
         n, *share, turns, plausible, sum(covered) / n, entropy, entropy / math.log2(max(2, n)), bool(_HEX.fullmatch(value)), bool(_UUID.fullmatch(value)),
         value.count("/"), value.count("."), value.count("-") + value.count("_"), len(set(low)) / n,
         any(w in near for w in ANNOUNCE), any(w in near for w in HARMLESS), any(c in before[-4:] for c in "=:"), any(c in before[-2:] for c in "\"'`"),
         any(w in re.split(r"[/._-]", where) for w in HARMLESS_PATHS), "xxxx" in low or "1234567" in low or "abcdef" in low,
         *_told(before), bool(PREFIX.match(value)), bool(_CODE.search(value)), low in _DUMMIES or any(w in low for w in _HOLDERS), any(w == low for w in DICTIONARY), covered[0],
+        any(w in behind for w in ANNOUNCE), any(w in behind for w in (*HARMLESS, *_HOLDERS)), after[:1] in ("", " ", "\n", "\r"), after[:1] != "" and after[:1] in "\"'`",
     ]
 
 
@@ -104,8 +106,8 @@ _PROSE = "ation ement ially istic inter counter under natural press communi stan
 _WORDS = "must will should was from with that which been have expires ends and the for were based more than about after policy rotation strength".split()
 
 
-def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, int]]:
-    """(candidate, text before it, path, 1 for a secret) rows made by stated rules."""
+def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, text before it, text behind it, path, 1 for a secret) rows made by stated rules."""
     r, out = random.Random(seed), []
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -154,7 +156,9 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
             value, before, y = draw(alnum + "+/", 64) + r.choice(["", "=", "=="]), draw(alnum + "+/", 47) + "\n", 0
         else:
             value, before, y = r.choice(["xxxxxxxxxxxxxxxx", "your-token-here-", "example", "abcdef1234567890"]) + draw("0123456789x", r.randrange(8, 20)), announce, 0
-        out.append((value, draw("abcdefgh ", r.randrange(0, 20)) + " " + before, path, y))
+        close = before[-1] if before[-1:] in ("'", '"') else r.choice(["", "", ";", ",", "\n"])
+        remark = r.choice(["", "", " // example", " (sha256)", " # placeholder"]) if kind in (6, 7, 9, 18) else r.choice(["", "", "", " // secret", " # rotate this token"]) if y else ""
+        out.append((value, draw("abcdefgh ", r.randrange(0, 20)) + " " + before, close + remark + r.choice(["", " ", "\n"]) + draw("abcdefgh ", r.randrange(0, 30)), path, y))
     return out
 
 
@@ -219,9 +223,10 @@ class Forest:
         return out / max(1, len(self.grown))
 
 
-def train_forest(findings: list[tuple[str, str, str, int]], **how) -> Forest:
-    x = np.array([features(v, b, p) for v, b, p, _ in findings], float)
-    return Forest(**how).fit(x, np.array([f[3] for f in findings], float))
+def train_forest(findings: list[tuple[str, str, str, str, int]], **how) -> Forest:
+    """findings: (candidate, text before it, text behind it, path, 1 for a secret)."""
+    x = np.array([features(*f[:4]) for f in findings], float)
+    return Forest(**how).fit(x, np.array([f[4] for f in findings], float))
 
 
 def _special(text: bytes) -> list[tuple[int, int]]:
@@ -251,8 +256,8 @@ def _special(text: bytes) -> list[tuple[int, int]]:
 _NAMES_NEXT = re.compile(rf"(?i:[A-Za-z0-9_.-]*?{_NAME}){_GIVEN}[^\s]".encode())
 
 
-def candidates(column: pa.Array) -> list[tuple[int, int, int, str, str]]:
-    """(row, start, end in code points, candidate, text before it) of a text column."""
+def candidates(column: pa.Array) -> list[tuple[int, int, int, str, str, str]]:
+    """(row, start, end in code points, candidate, text before it, text behind it) of a text column."""
     data, off = text_buffers(column)
     starts, ends, _ = word_bounds(data, off, _RUN)
     long = ends - starts >= LEAST - 2
@@ -288,7 +293,7 @@ def candidates(column: pa.Array) -> list[tuple[int, int, int, str, str]]:
         for s, e in sorted(spans):
             head = next((h for a, b, h in heads if a <= s < b), None)
             before = text[max(0, s - AROUND) : s] if head is None else head[-AROUND:] + b"\n"
-            out.append((r, int(chars[base + s] - chars[base]), int(chars[base + e] - chars[base]), text[s:e].decode(errors="ignore"), before.decode(errors="ignore")))
+            out.append((r, int(chars[base + s] - chars[base]), int(chars[base + e] - chars[base]), text[s:e].decode(errors="ignore"), before.decode(errors="ignore"), text[e : e + AROUND].decode(errors="ignore")))
     return out
 
 
@@ -306,7 +311,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Dat
                 continue
             rows = pa.array([f[0] for f in found], pa.int64())
             paths = batch.column(1).take(rows).to_pylist()
-            score = np.round(shared.value.predict(np.array([features(f[3], f[4], p or "") for f, p in zip(found, paths, strict=True)], float)), 6)
+            score = np.round(shared.value.predict(np.array([features(*f[3:6], p or "") for f, p in zip(found, paths, strict=True)], float)), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([hashlib.sha256(f[3].encode()).hexdigest() for f in found]), pa.array(score), pa.array(score >= threshold)], ["doc_id", "start", "end", "candidate_sha256", "score", "secret"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text").mapInArrow(run, FOUND)
