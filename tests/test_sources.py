@@ -29,6 +29,45 @@ def docx(body="<w:p><w:r><w:t>Hello</w:t><w:tab/><w:t>Anna</w:t></w:r></w:p><w:p
     return package(**{"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>', **more})
 
 
+def changed(at, skip, new, cut=0):
+    """A package with some bytes overwritten (or `cut` of them replaced) behind the first place of a mark."""
+    raw = docx()
+    place = raw.index(at) + skip
+    return raw[:place] + new + raw[place + (cut or len(new)) :]
+
+
+def extra(field):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        info = zipfile.ZipInfo("word/document.xml")
+        info.extra = field
+        z.writestr(info, '<w:document xmlns:w="w"><w:t>Hello</w:t></w:document>')
+    return out.getvalue()
+
+
+class OneWay(io.RawIOBase):
+    """A stream that cannot seek: sizes then follow the data."""
+
+    def __init__(self):
+        self.parts = []
+
+    def writable(self):
+        return True
+
+    def write(self, b):
+        self.parts.append(bytes(b))
+        return len(b)
+
+
+def streamed(error=0):
+    out = OneWay()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:t>Hello</w:t></w:p></w:document>')
+    raw = bytearray(b"".join(out.parts))
+    raw[raw.index(b"PK\x07\x08") + 4] ^= error
+    return bytes(raw)
+
+
 def test_names():
     assert parse_names("﻿Class 4\nVoornaam;Tussenvoegsel;Achternaam\n\"An;na\";de;Vries\nAn\u0301a;;X\nAn\u0301a;;X\n;;\n") == [("An;na", "de Vries"), ("A\u0144a", "X")]
     assert parse_names("Jo,Smit\n\"A \"\"B\"\"\",C") == [("Jo", "Smit"), ('A "B"', "C")]
@@ -73,6 +112,18 @@ def test_packages():
     (docx("<a/>" * 300_001), "file_complex"),
     (docx("<w:t>" + "x" * (9 << 20) + "</w:t>"), "file_expanded_large"),
     (docx(**{"word/_rels/document.xml.rels": REL.format(rel("a", "header", "../../x.xml"))}), "file_archive"),
+    (docx(**{"word/_rels/document.xml.rels": REL.format(rel("a", "header", "x.xml") + rel("a", "footer", "y.xml"))}), "file_archive"),
+    (docx(**{"word/_rels/document.xml.rels": REL.format(rel("", "header", "x.xml"))}), "file_archive"),
+    (changed(b"PK\x01\x02", 8, b"\x40\x00"), "file_encrypted"),
+    (changed(b"PK\x01\x02", 8, b"\x00\x20"), "file_encrypted"),
+    (changed(b"PK\x03\x04", 14, b"\0\0\0\0"), "file_archive"),  # the local header's checksum
+    (changed(b"PK\x03\x04", 22, b"\1\0\0\0"), "file_archive"),  # and its size
+    (changed(b"word/document.xml", 0, b"\xff"), "file_archive"),
+    (changed(b"PK\x05\x06", 0, b"gap!PK\x05\x06", 4), "file_archive"),  # the directory does not end at the end record
+    (extra(b"\x01\x00\x04\x00abcd"), "file_archive"),
+    (extra(b"\x01\x99\x04\x00abcd"), "file_archive"),
+    (extra(b"\x99\x99\x09\x00abcd"), "file_archive"),  # longer than its place
+    (streamed(1), "file_archive"),
 ])
 def test_hostile_packages(raw, code):
     with pytest.raises(Failure) as found:
@@ -80,6 +131,17 @@ def test_hostile_packages(raw, code):
     assert found.value.code == code
 
 
+def test_packages_written_as_streams_and_harmless_extras():
+    for raw in (streamed(), extra(b"\x99\x99\x04\x00abcd")):
+        assert "Hello" in extract(raw, "docx")[0]
+
+
+def test_a_file_has_a_deadline():
+    with pytest.raises(Failure) as found:
+        extract(docx(), "docx", Limits(seconds=-1))
+    assert found.value.code == "file_timeout"
+
+
 def test_damaged_checksum():
     raw = bytearray(docx())
     raw[raw.index(b"PK\x01\x02") + 16] ^= 1

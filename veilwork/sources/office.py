@@ -14,6 +14,7 @@ from __future__ import annotations
 import posixpath
 import re
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,6 +34,11 @@ class Limits:
     nodes: int = 300_000
     sheets: int = 200
     slides: int = 200
+    seconds: float = 30.0
+
+
+# Flag bits of a ZIP entry (encrypted in any way; sizes in a descriptor) and extra fields that are refused (64-bit sizes, encryption).
+ENCRYPTED, DESCRIPTOR, REFUSED_EXTRAS = 0x2041, 0x0008, (0x0001, 0x9901)
 
 
 class Failure(ValueError):
@@ -69,54 +75,97 @@ class Package:
 
     def __init__(self, raw: bytes, limits: Limits) -> None:
         self.raw, self.limits, self.used, self.nodes = raw, limits, 0, 0
+        self.deadline = time.monotonic() + limits.seconds
         self.entries = self._directory()
 
     def _directory(self) -> dict[str, tuple[int, int, int, int, int]]:
-        raw, at = self.raw, -1
-        for found in re.finditer(b"PK\x05\x06", raw[-65_557:]):
-            place = max(0, len(raw) - 65_557) + found.start()
-            if place + 22 <= len(raw) and place + 22 + struct.unpack_from("<H", raw, place + 20)[0] == len(raw):
-                at = place
-        if at < 0:
-            raise Failure("file_archive")
-        disk, first, here, total, size, begin, _ = struct.unpack_from("<4H2IH", raw, at + 4)
-        if disk or first or here != total or 0xFFFF in (here, total) or 0xFFFFFFFF in (size, begin) or begin + size > at:
+        """name -> (place of the data, packed size, size, CRC, method); every claim of the directory is checked against the file."""
+        end = self._end_record()
+        disk, first, here, total, size, begin = struct.unpack_from("<4H2I", self.raw, end + 4)
+        if disk or first or here != total or total == 0xFFFF or begin + size != end:
             raise Failure("file_archive")
         if total > self.limits.entries:
             raise Failure("file_complex")
-        out, spans, expanded = {}, [], 0
+        out, spans, expanded, at = {}, [], 0, begin
         for _ in range(total):
-            if raw[begin : begin + 4] != b"PK\x01\x02" or begin + 46 > len(raw):
+            self.check_time()
+            if at + 46 > end or self.raw[at : at + 4] != b"PK\x01\x02":
                 raise Failure("file_archive")
-            flags, method, _, _, crc, packed, plain, n, extra, note, _, _, _, local = struct.unpack_from("<4H3I5H2I", raw, begin + 8)
-            name = raw[begin + 46 : begin + 46 + n].decode("utf-8", "replace")
-            if flags & 1:
+            flags, method, _, crc, packed, plain, n, extra, note, on_disk, _, _, local = struct.unpack_from("<2HI3I5H2I", self.raw, at + 8)
+            if at + 46 + n + extra + note > end or not n or on_disk or 0xFFFFFFFF in (local, packed, plain):
+                raise Failure("file_archive")
+            if flags & ENCRYPTED:
                 raise Failure("file_encrypted")
-            bad = "\0" in name or "\\" in name or name.startswith("/") or ":" in name or any(p in (".", "..") for p in name.split("/"))
-            if bad or name in out or method not in (0, 8):
+            name = self._name(at + 46, n)
+            if name in out or method not in (0, 8) or (method == 0 and packed != plain):
                 raise Failure("file_archive")
+            self._extra(at + 46 + n, extra)
             expanded += plain
-            data = self._local(local, name, method, flags)
+            if expanded > self.limits.expanded:
+                raise Failure("file_expanded_large")
+            data, stop = self._local(local, begin, name, flags, method, (crc, packed, plain))
             out[name] = (data, packed, plain, crc, method)
-            spans.append((local, data + packed))
-            begin += 46 + n + extra + note
-        if expanded > self.limits.expanded:
-            raise Failure("file_expanded_large")
+            spans.append((local, stop))
+            at += 46 + n + extra + note
         spans.sort()
-        if any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)) or (spans and spans[-1][1] > at):
+        if at != end or any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)):
             raise Failure("file_archive")
         return out
 
-    def _local(self, at: int, name: str, method: int, flags: int) -> int:
-        """Where an entry's data begins; its local header must agree with the directory."""
-        if self.raw[at : at + 4] != b"PK\x03\x04" or at + 30 > len(self.raw):
+    def _end_record(self) -> int:
+        """The last place of an end record whose comment ends with the file."""
+        least = max(0, len(self.raw) - 65_557)
+        for found in reversed([least + m.start() for m in re.finditer(b"PK\x05\x06", self.raw[least:])]):
+            if found + 22 <= len(self.raw) and found + 22 + struct.unpack_from("<H", self.raw, found + 20)[0] == len(self.raw):
+                return found
+        raise Failure("file_archive")
+
+    def _name(self, at: int, n: int) -> str:
+        try:
+            name = self.raw[at : at + n].decode()
+        except UnicodeDecodeError:
+            raise Failure("file_archive") from None
+        if re.search(r"[\0\\:]", name) or name.startswith("/") or {".", ".."} & {*name.split("/")}:
             raise Failure("file_archive")
-        own_flags, own_method, n, extra = *struct.unpack_from("<2H", self.raw, at + 6), *struct.unpack_from("<2H", self.raw, at + 26)
-        if own_method != method or (own_flags ^ flags) & 9 or self.raw[at + 30 : at + 30 + n].decode("utf-8", "replace") != name:
+        return name
+
+    def _extra(self, at: int, n: int) -> None:
+        """Refuses extra fields that change sizes or encrypt, and broken ones."""
+        stop = at + n
+        while at < stop:
+            if at + 4 > stop:
+                raise Failure("file_archive")
+            kind, size = struct.unpack_from("<2H", self.raw, at)
+            at += 4 + size
+            if kind in REFUSED_EXTRAS or at > stop:
+                raise Failure("file_archive")
+
+    def _local(self, at: int, limit: int, name: str, flags: int, method: int, facts: tuple[int, int, int]) -> tuple[int, int]:
+        """(place of an entry's data, end of the entry); its local header and its descriptor must agree with the directory."""
+        if at + 30 > limit or self.raw[at : at + 4] != b"PK\x03\x04":
+            raise Failure("file_archive")
+        own_flags, own_method, _, *own_facts, n, extra = struct.unpack_from("<2HI3I2H", self.raw, at + 6)
+        data = at + 30 + n + extra
+        stop = data + facts[1]
+        if (own_flags, own_method) != (flags, method) or stop > limit or self._name(at + 30, n) != name:
             raise Failure("file_archive")
-        return at + 30 + n + extra
+        self._extra(at + 30 + n, extra)
+        if flags & DESCRIPTOR:
+            stop += 4 if self.raw[stop : stop + 4] == b"PK\x07\x08" else 0
+            if stop + 12 > limit:
+                raise Failure("file_archive")
+            own_facts = struct.unpack_from("<3I", self.raw, stop)
+            stop += 12
+        if tuple(own_facts) != facts:
+            raise Failure("file_archive")
+        return data, stop
+
+    def check_time(self) -> None:
+        if time.monotonic() > self.deadline:
+            raise Failure("file_timeout")
 
     def read(self, name: str) -> bytes:
+        self.check_time()
         data, packed, plain, crc, method = self.entries[name]
         body = self.raw[data : data + packed]
         if method == 8:
@@ -152,8 +201,11 @@ class Package:
     def links(self, part: str, report: Report) -> list[tuple[str, str, str]]:
         """(id, kind, target part) of a part's relationships; external ones are only noted."""
         root = self.xml(posixpath.join(posixpath.dirname(part), "_rels", posixpath.basename(part) + ".rels"))
-        out = []
+        out, seen = [], set()
         for r in root if root is not None else ():
+            if not r.get("Id") or r.get("Id") in seen:
+                raise Failure("file_archive")
+            seen.add(r.get("Id"))
             target = unquote(r.get("Target", ""))
             if r.get("TargetMode") == "External":
                 report.warn("import_external")
