@@ -96,3 +96,11 @@ def test_marks_of_matching_may_stand_in_texts(spark):
         found = [(m.start(), m.end(), m[0], m.start(1)) for m in regex.finditer(pattern, t)]
         assert got[i] == [x[:3] for x in found]
         assert inner[i] == [(p, p + 1, t[p]) for *_, p in found]
+
+
+def test_lexicon_from_a_table(spark):
+    rows = [("Anna", "given"), ("anna", "given"), ("Smit", "family"), (None, "given"), ("Ignored", "other"), ("Ito", "family")]
+    lists = NameLists.from_table(spark.createDataFrame(rows, "name string, kind string"))
+    assert (lists.given, lists.family) == (frozenset({"anna"}), frozenset({"smit", "ito"}))
+    d = spark.createDataFrame([(1, "then Anna van der Smit spoke")], "doc_id long, text string")
+    assert [s.value for s in detect(d, lists=lists, columns=False).first().spans] == ["Anna van der Smit"]

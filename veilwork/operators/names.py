@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.textops import key_text
@@ -54,6 +54,12 @@ class NameLists:
     stop: frozenset[str] = STOP_WORDS
     particles: frozenset[str] = field(default=PARTICLES)
 
+    @classmethod
+    def from_table(cls, names: DataFrame, custom: Iterable[tuple[str, str]] = ()) -> NameLists:
+        """names (name, kind: `given` or `family`), of at most MOST_ENTRIES rows; rows of other kinds and nulls are left out."""
+        rows = names.where("name is not null and kind in ('given', 'family')").select("name", "kind").distinct().limit(MOST_ENTRIES + 1).collect()
+        return cls([r[0] for r in rows if r[1] == "given"], [r[0] for r in rows if r[1] == "family"], custom)
+
     def __post_init__(self) -> None:
         keys = lambda names: frozenset(k for k in map(key_text, names) if k)
         object.__setattr__(self, "given", keys(self.given))
