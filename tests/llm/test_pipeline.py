@@ -101,3 +101,34 @@ def test_texts_that_share_an_id(spark):
     for r in near_duplicates(d, 5, 80).where("doc_id is not null").collect():
         labels.setdefault(r.doc_id, set()).add(r.component_id)
     assert labels == {3: {3}, 5: {3}, 6: {3}, 7: {7}, 8: {7}, 9: {9}}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    columns = COLUMNS + ", kept boolean, size long, rep long, digest string, set_key string, label long, n long, copies long"
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, words, "en", "a", 0, False, 1, 2, "d", "s", 3, 4, 5), (2, words, "en", "a", 0, None, 1, 2, "d", "s", 3, 4, 5), (None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for made, left in ((rows, 1), ([], 0)):
+        docs = spark.createDataFrame(made, columns)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            docs = written(out, "stage")
+            assert name == "mixing" or docs.where("doc_id = 1").count() == left
+        assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_run_deletes_the_tables_of_its_stages(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from veilwork.session import shared_dir
+
+    words = [" ".join(f"w{k}x{n}" for k in range(80)) for n in range(6)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(words)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "veilwork"
+    before = {*folder.iterdir()} if folder.exists() else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert sorted(p.name.split("-")[0] for p in {*folder.iterdir()} - before) == ["token", "tokens"]

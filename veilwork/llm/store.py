@@ -6,21 +6,16 @@ files survive a lost executor and may lie in any store that Spark reads.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; where it is unset (single-machine tests), one temporary folder a session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="veilwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Tables written inside each `scratch` that is open.
+_OPEN: list[list[DataFrame]] = []
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,6 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.veilwork_path = path
+    for made in _OPEN:
+        made.append(back)
     return back
 
 
@@ -52,6 +49,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are written inside the block when it ends, but for those given to what it yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _OPEN.remove(made)
+        discard(*(df for df in made if not any(df is x for x in kept)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
