@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), keeps or repeats whole documents with all their columns, and
 its output is written as Parquet and read back as the next stage's input.
+
+Defined cases, for every stage: null and empty texts fail the quality rules; rows without an id are documents of
+their own; repeated rows stay until the near-duplicate stage, which keeps one; texts of any length are read whole;
+empty tables give empty tables; further columns pass through, whatever their names but those that begin with `__`.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from veilwork.llm.mixing import mixed
 from veilwork.llm.near_dup import distinct_texts
 from veilwork.llm.quality import keep_good, train
 from veilwork.llm.queries import vocabulary
-from veilwork.llm.store import table, written
+from veilwork.llm.store import discard, scratch, table, written
 from veilwork.llm.token_files import token_files
 from veilwork.session import ship
 
@@ -53,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables of earlier stages are deleted as soon as the next stage is written; the token files stay."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        discard(*done)
+        done = [docs]
     return docs
