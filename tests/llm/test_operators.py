@@ -62,6 +62,8 @@ def test_token_counts(odd, none):
     tool = encoder(vocabulary())
     want = [(r.doc_id, len((r.text or "").encode()), n := len(tool.raw([r.text or ""])[0]), n > 512) for r in odd.collect()]
     assert rows(token_counts(odd, vocabulary())) == sorted(want, key=repr)
+    for huge in (10**9, 1, 100):  # no document is huge, all are, some are
+        assert rows(token_counts(odd, vocabulary(), huge_bytes=huge, window=64, overlap=16)) == sorted(want, key=repr)
     assert token_counts(none, vocabulary()).count() == 0
 
 
@@ -113,6 +115,17 @@ def test_near_duplicates(spark, odd, none):
     assert near_duplicates(none, 2, 80).count() == 0
 
 
+def test_near_duplicates_of_the_test_documents(spark):
+    """Every link between the 200 documents of the smallest table, against all pairs."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for words in (2, 5):
+        sets = {r.doc_id: shingles(r.text, words) for r in d.collect()}
+        links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        got = {g.doc_id: (g.n_shingles, g.component_id) for g in near_duplicates(d, words, 80).collect()}
+        label = brute_components(links, sets)
+        assert got == {i: (len(x), label[i]) for i, x in sets.items()} and links
+
+
 def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation.
 
-A document above `HUGE_CHARS` characters is cut into windows that overlap. Each window is encoded by
+A document above `HUGE_BYTES` bytes is cut into windows that overlap. Each window is encoded by
 itself, with offsets. Two neighbouring windows are spliced at a boundary between pre-tokens that both
 of them show at the same character, at least MARGIN characters before the first window's end.
 
@@ -10,6 +10,8 @@ own splice, sees every character that can decide a boundary that far from its en
 one character ahead, an added token is shorter than MARGIN). By induction all windows agree with the
 whole text between their splices. If no shared boundary exists, the overlap is doubled and the first
 window encoded again, until one is found or it reaches the end of the document.
+
+A document up to that size is encoded by `encode`, which gives the same ids; the tests count the same texts both ways.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .encode import Encoder, encoder
 from .textkernel import sub_batches
 
-HUGE_CHARS = 32_768
+HUGE_BYTES = 32_768
 WINDOW, OVERLAP = 16_384, 256
 
 
@@ -64,11 +66,11 @@ def encode_long(tool: Encoder, text: str, window: int = WINDOW, overlap: int = O
         begin, done = there, splice
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, huge_bytes: int = HUGE_BYTES, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit; one row per input row.
 
-    Null and empty texts count 0. Rows are independent (repeated ids and rows give a row each) and
-    other columns are ignored.
+    Null and empty texts count 0. Texts of any length are counted whole. Rows are independent (repeated ids and rows
+    give a row each), an empty table gives no rows, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +78,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         for batch in sub_batches(batches, "text", 4 << 20):
             column, counts = batch.column(2), np.zeros(len(batch), np.int64)
             sizes = batch.column(1).to_numpy()
-            huge = sizes > HUGE_CHARS
+            huge = sizes > huge_bytes
             if not huge.all():
                 counts[~huge] = tool.column(column.filter(pa.array(~huge)))[1]
             for i in np.flatnonzero(huge):
-                counts[i] = len(encode_long(tool, column[i].as_py()))
+                counts[i] = len(encode_long(tool, column[i].as_py(), window, overlap))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
