@@ -7,20 +7,24 @@ rule's pattern.
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.detect import detect, long_spans
 from .operators.names import SEED_FAMILY, NameLists
-from .operators.replace import redact
+from .operators.replace import code_table, redact
 from .operators.review import prompt, request_text, reviewed
+from .operators.spans import known_type
 from .plans.rules import regex_candidates
 from .queries import ORACLES, QUERIES, REPORTED, query, rule_rows
 from .session import shared_dir, table
 from .sources.delimited import name_records
-from .sources.files import decode_plain, read_files
+from .sources.files import decode_plain, extract_files, read_files
+from .streaming.stream import redact_folder
 
 _LF, _Q, _BACK = "chr(10)", "chr(39)", "chr(92)"
 _K, _P = "CAST(c_custkey AS STRING)", "CAST(p_partkey AS STRING)"
@@ -142,3 +146,86 @@ def reviewed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = docs.where("c_custkey % 2 = 0").select("c_custkey", F.lit("bo SMIT ").alias("term"), F.lit("name").alias("type"))
     rows = reviewed(docs, spans, decisions, terms, "c_custkey")
     return rows.select("c_custkey", prompt(redact(F.col("text"), F.col("confirmed")), "remove").alias("prompt"))
+
+
+_REL = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+#: Small office packages by extension: part -> XML, with {0} for a name.
+PACKAGES = {
+    "docx": {
+        "word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Dear {0}</w:t><w:tab/><w:t>x</w:t></w:r></w:p></w:body></w:document>',
+        "word/_rels/document.xml.rels": _REL.format('<Relationship Id="a" Type="http://x/comments" Target="comments.xml"/>'),
+        "word/comments.xml": '<w:comments xmlns:w="w"><w:comment w:author="Jo"><w:p><w:t>Note</w:t></w:p></w:comment></w:comments>',
+    },
+    "xlsx": {
+        "xl/workbook.xml": '<w xmlns:r="r"><sheets><sheet name="S" state="hidden" r:id="q"/></sheets></w>',
+        "xl/_rels/workbook.xml.rels": _REL.format('<Relationship Id="q" Type="http://x/worksheet" Target="/xl/s1.xml"/>'),
+        "xl/s1.xml": '<s xmlns="x"><row><c t="s"><v>0</v></c><c s="1"><v>40251</v></c><c t="inlineStr"><is><t>{0}</t></is></c><c><f>A1+1</f><v>3</v></c></row></s>',
+        "xl/sharedStrings.xml": "<sst><si><t>shared</t></si></sst>",
+        "xl/styles.xml": '<st><numFmts/><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></st>',
+    },
+    "pptx": {
+        "ppt/presentation.xml": '<p xmlns:r="r"><sldId r:id="2"/><sldId r:id="1"/></p>',
+        "ppt/_rels/presentation.xml.rels": _REL.format('<Relationship Id="1" Type="http://x/slide" Target="slides/a.xml"/><Relationship Id="2" Type="http://x/slide" Target="slides/b.xml"/>'),
+        "ppt/slides/a.xml": '<p:sld xmlns:p="p" xmlns:a="a" show="0"><a:p><a:t>{0}</a:t></a:p></p:sld>',
+        "ppt/slides/b.xml": '<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:t>second</a:t></a:p></p:sld>',
+    },
+    "ods": {"content.xml": '<o xmlns:t="t" xmlns:x="x"><t:body><t:spreadsheet><t:table t:name="T"><t:table-row x:number-rows-repeated="9"><t:table-cell><t:p>a<t:s t:c="3"/>{0}</t:p></t:table-cell></t:table-row></t:table></t:spreadsheet></t:body></o>'},
+}
+
+
+def _package(kind: str, name: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, body in PACKAGES.get(kind, {}).items():
+            z.writestr(part, body.replace("{0}", name))
+    return out.getvalue() if kind in PACKAGES else b"not a package"
+
+
+_LF2 = "chr(10) || chr(10)"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, c_name, ['docx', 'xlsx', 'pptx', 'ods', 'odt', 'exe'][1 + c_custkey % 6] AS kind FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN 'File name: "f' || c_custkey || '.' || kind || '"' || {_LF2} || CASE kind
+    WHEN 'docx' THEN '[document]' || chr(10) || 'Dear ' || c_name || chr(9) || 'x' || {_LF2} || '[word/comments.xml]' || chr(10) || 'Jo' || chr(10) || 'Note'
+    WHEN 'xlsx' THEN '[sheet S hidden]' || chr(10) || 'shared' || chr(9) || '2010-03-14' || chr(9) || c_name || chr(9) || '3 [Formula: A1+1]'
+    WHEN 'pptx' THEN '[slide 1]' || chr(10) || 'second' || {_LF2} || '[slide 2 hidden]' || chr(10) || c_name
+    ELSE '[table T]' || chr(10) || 'a   ' || c_name END END AS text,
+  [1, 0, 0, 0, 0, 0][1 + c_custkey % 6] AS comments, [0, 0, 2, 0, 0, 0][1 + c_custkey % 6] AS slides, [0, 1, 1, 0, 0, 0][1 + c_custkey % 6] AS hidden,
+  ['import_document', 'import_spreadsheet', 'import_slides', 'import_repeated,import_spreadsheet', '', ''][1 + c_custkey % 6] AS warnings,
+  CASE c_custkey % 6 WHEN 4 THEN 'file_archive' WHEN 5 THEN 'file_unsupported' END AS error_code FROM n""")
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of one of four kinds for each customer, a broken one and a file of another kind."""
+    pack = F.udf(_package, "binary")  # makes the fixture; what is queried runs on its bytes
+    kind = F.get(F.array(*map(F.lit, (*PACKAGES, "odt", "exe"))), (F.col("c_custkey") % 6).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), pack(kind, F.col("c_name")).alias("content"))
+    files = rows.select(F.concat(F.lit("/in/f"), F.col("c_custkey").cast("string"), F.lit("."), "kind").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    found = extract_files(files)
+    return found.select(F.regexp_extract("path", "/f([0-9]+)", 1).cast("long").alias("c_custkey"), "text", "counts.comments", "counts.slides", "counts.hidden", F.array_join("warnings", ",").alias("warnings"), "error_code")
+
+
+@query("""SELECT c_custkey, 'mail [REMOVED], or not' AS redacted FROM customer""")
+def streamed_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder, redacted by a stream into another folder."""
+    path = f"{shared_dir(spark)}/veilwork/stream-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("mail a"), F.col("c_custkey").cast("string"), F.lit("@b.de, or not")).alias("text"))
+    docs.write.parquet(f"{path}/in")
+    redact_folder(spark, "c_custkey long, text string", f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""WITH k AS (SELECT c_custkey, c_custkey % 3 + 1 AS taken FROM customer)
+SELECT c_custkey, 'a' || c_custkey || '@b.de' AS original, '[[EMAIL_00' || CASE WHEN taken = 1 THEN 2 ELSE 1 END || ']]' AS pseudonym FROM k
+UNION ALL SELECT c_custkey, 'c' || c_custkey || '@b.de', '[[EMAIL_00' || CASE WHEN taken = 3 THEN 2 ELSE 3 END || ']]' FROM k""")
+def reserved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text holds what looks like one of the codes; its number is left out."""
+    k = F.col("c_custkey").cast("string")
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("[[email_00"), (F.col("c_custkey") % 3 + 1).cast("string"), F.lit("]] a"), k, F.lit("@b.de c"), k, F.lit("@b.de")).alias("text"))
+    codes = docs.select("c_custkey", F.explode_outer(code_table(F.col("text"), regex_candidates(F.col("text"), ["email"]))).alias("c"))
+    return codes.select("c_custkey", "c.original", "c.pseudonym")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'iban' ELSE 'detail' END AS type FROM events""")
+def normal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that are none of the known ones, and null, count as details."""
+    kind = F.get(F.array(F.lit("email"), F.lit("iban"), F.lit("Email "), F.lit(None).cast("string")), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", known_type(kind).alias("type"))

@@ -48,11 +48,15 @@ def decode_plain(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """path, text, warnings, counts and error columns of every file below a path; a bad file is an error row, never a failed job.
+    """`extract_files` of every file below a path."""
+    return extract_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits)
+
+
+def extract_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """files (path, length, content) -> path, text, warnings, counts and error columns; a bad file is an error row, never a failed job.
 
     Files above the size limit are refused by their length alone. Names go before the text.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.element_at(F.split("path", "\\."), -1))
     files = files.withColumn("kind", kind).withColumn("content", F.when(F.col("length") <= limits.file_bytes, F.col("content")))
     plain = F.when(F.col("kind").isin(*PLAIN), decode_plain(F.col("content")))
