@@ -152,20 +152,20 @@ def format_chats(conversations: DataFrame, template: Template = CHAT) -> DataFra
 
 
 def digest_chats(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Reads formatted conversations back: turns, loss text and lengths of what the segments hold."""
+    """Reads formatted conversations back: turns, loss text and lengths of what the segments hold; the machine's verdict passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
                 rows = []
-                for pieces in part.column(1).to_pylist():
+                for pieces in part.column(2).to_pylist():
                     whole = "".join(p["text"] for p in pieces)
                     turns = parse(whole, template)
                     loss = "".join(unescape(p["text"], template) for p in pieces if p["loss"])
                     said = "".join(f"{r}\n{t}\n" for r, t in turns)
                     rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), part.column(1)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "verdict"])
 
-    return formatted.select("conv_id", "segments").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "verdict", "segments").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, verdict string")

@@ -11,7 +11,7 @@ Documents never leave their task, so nothing is shuffled and no passage, however
 key. Phrases are broadcast in blocks of about BLOCK_BYTES of benchmark text, PASS_BYTES at a time; each
 shard is searched for one block after another. A larger benchmark takes several passes: what a pass found is written
 beside the documents, its blocks are dropped, and the next pass goes on from there. So neither a worker nor
-the driver holds more than PASS_BYTES of it, whatever its size.
+the driver holds more than the phrases of PASS_BYTES of it (about 40 MB), whatever its size.
 
 Defined cases: null and empty texts have no words and no hits; a text of any length is a shard of its own if it
 is larger than SHARD_BYTES; equal item ids are one item; a null item id is an item named `null`; an item without
@@ -34,7 +34,7 @@ from .fm_index import FMIndex
 from .store import discard, written
 from .textkernel import ALNUM, LOWER, char_counts, gather, same_spans, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
-SHARD_BYTES, BLOCK_BYTES, PASS_BYTES = 6 << 20, 16 << 20, 64 << 20
+SHARD_BYTES, BLOCK_BYTES, PASS_BYTES = 6 << 20, 1 << 20, 4 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
 
 
@@ -68,7 +68,7 @@ class Phrases:
                 part = own[i : i + window]
                 found.setdefault(part.tobytes(), (part, set()))[1].add(item)
         self.lengths = np.array([len(x) for x, _ in found.values()], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
+        self.rows = np.zeros((len(found), window), np.int32)
         for k, (part, _) in enumerate(found.values()):
             self.rows[k, window - len(part) :] = part
         self.items = [sorted(x) for _, x in found.values()]
