@@ -47,6 +47,10 @@ MADE = {
     "american_phones": ("phone_nanp", "customer", "c_custkey", "'call '", f"CASE WHEN c_custkey % 2 = 0 THEN '(555) ' ELSE '555-' END || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-' || lpad(CAST(c_custkey * 7 % 10000 AS STRING), 4, '0')", "' now'", "phone", "TRUE"),
     "dutch_student_numbers": ("id_student_nl", "customer", "c_custkey", "'leerlingnummer '", f"CASE WHEN c_custkey % 3 = 0 THEN 'ABCDEF' ELSE 'AB' || {_SIX} END", "', ok'", "detail", "c_custkey % 3 <> 0"),
     "dutch_staff_numbers": ("id_staff_nl", "customer", "c_custkey", "'Personeelsnummer: '", f"'P-' || {_SIX}", "';'", "detail", "TRUE"),
+    "ipv4_numbers": ("ipv4", "customer", "c_custkey", "'at '", "CAST(c_custkey % 400 AS STRING) || '.0.0.' || CAST(c_custkey % 7 AS STRING)", "' up'", "ip", "c_custkey % 400 <= 255"),
+    "ipv6_shapes": ("ipv6", "customer", "c_custkey", "'at '", "CASE c_custkey % 4 WHEN 0 THEN 'dead:beef::cafe' WHEN 1 THEN '1:2:3:4:5:6:7:8' WHEN 2 THEN '1:2:3' ELSE '1::2::3' END", "' up'", "ip", "c_custkey % 4 < 2"),
+    "urls_in_brackets": ("url", "customer", "c_custkey", "'see ('", f"'https://e.org/a_(b)' || {_K} || CASE WHEN c_custkey % 2 = 0 THEN '[1]' ELSE '' END", "').'", "url", "TRUE"),
+    "foreign_ibans": ("iban", "supplier", "s_suppkey", "'to '", "CASE s_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'BE' ELSE 'XX' END || '12' || lpad(CAST(s_suppkey AS STRING), CASE s_suppkey % 3 WHEN 1 THEN 12 ELSE 18 END, '0')", "', ok'", "iban", "s_suppkey % 3 < 2"),
     "short_birth_dates": ("date_dob_label", "customer", "c_custkey", "'DOB '", "lpad(CAST(c_custkey % 40 AS STRING), 2, '0') || '.' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') || '.' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0')", "' end'", "date", "c_custkey % 40 BETWEEN 1 AND 12 OR (c_custkey % 28 + 1 <= 12 AND c_custkey % 40 BETWEEN 1 AND day(last_day(make_date(CAST(CASE WHEN c_custkey % 100 <= 49 THEN 2000 ELSE 1900 END + c_custkey % 100 AS INTEGER), CAST(LEAST(c_custkey % 28 + 1, 12) AS INTEGER), 1))))"),
 }
 
