@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_bpe, encode_bpe
 from .chat_format import digest_chats, format_chats
 from .decontaminate import contamination
 from .licenses import inherit, own_licenses
+from .merkle import document_manifest
 from .mixing import mixing_report
 from .near_dup import near_duplicates
 from .quality import quality, train
 from .secrets import labelled_findings, scan_secrets, train_forest
+from .spelling import spelling_variants
 from .store import table
 from .token_counts import token_counts
 from .token_files import token_files
@@ -147,3 +150,79 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digest_chats(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)))
+
+
+def _crc_steps() -> list[int]:
+    """What four bits add to a crc32 (reflected polynomial 0xEDB88320)."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes."""
+    four = lambda c: f"xor(list_extract({_crc_steps()}::BIGINT[], (({c}) & 15) + 1), ({c}) >> 4)"
+    data = f"list_transform(range(1, length(hex({text})) + 1, 2), lambda k: ('0x' || substr(hex({text}), k, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda c, b: {four(four('xor(c, b)'))}), 4294967295)"
+
+
+@query(rf"""
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32('keyed')} AS h FROM c),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON k.cut = w.word UNION SELECT w.word, w.n, k.word, k.n FROM k JOIN w ON k.cut = w.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM e GROUP BY word),
+v AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM w LEFT JOIN f USING (word)),
+t AS (WITH RECURSIVE t AS (SELECT word, word AS root, 0 AS k FROM v UNION ALL SELECT t.word, v.form, k + 1 FROM t JOIN v ON t.root = v.word WHERE v.form IS NOT NULL) SELECT word, arg_max(root, k) AS root FROM t GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM v JOIN t USING (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    rows = decode_bpe(encode_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """SQL for every level of the trees over nodes (grp, pos, n, h)."""
+    return f"{name} AS (SELECT grp, 0 AS lv, pos, n, h FROM {nodes} UNION ALL SELECT grp, lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY grp, lv, pos // 8, n)"
+
+
+def _steps(tree: str, nodes: str) -> str:
+    """SQL (grp, pos, lv, step): siblings left and right of the node of each level above pos, with a bar between them."""
+    return f"""SELECT a.grp, a.pos, t.lv, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < a.pos // (8 ** t.lv)::BIGINT), '') || '|' || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > a.pos // (8 ** t.lv)::BIGINT), '') AS step
+  FROM {nodes} a JOIN {tree} t ON a.grp = t.grp AND t.n > 1 AND t.pos // 8 = a.pos // (8 ** (t.lv + 1))::BIGINT GROUP BY a.grp, a.pos, t.lv"""
+
+
+_ROW = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256({' || '.join([*_ROW, _field('text')])}) AS h,
+  CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 THEN sha256({' || '.join([*_ROW, _field(f"translate(text, '{_UPPER}', '{_LOWER}')")])}) END AS seen FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d),
+{_tree('t', 'l')},
+s AS (SELECT '' AS grp, grp AS lang, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree('u', 's')},
+p AS ({_steps('t', 'l')} UNION ALL SELECT l.grp, l.pos, 100 + x.lv, x.step FROM l JOIN s ON l.grp = s.lang JOIN ({_steps('u', 's')}) x ON x.pos = s.pos),
+q AS (SELECT grp, pos, list(step ORDER BY lv) AS steps FROM p GROUP BY grp, pos),
+o AS (SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(replace(array_to_string(coalesce(steps, []), ''), '|', '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(l.seen, l.h)], coalesce(steps, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+  FROM l JOIN s ON l.grp = s.lang LEFT JOIN q ON l.grp = q.grp AND l.pos = q.pos)
+SELECT *, folded_root = root AS verified FROM o""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
