@@ -59,8 +59,9 @@ def test_sets_counts_and_hits_of_confusing_words(spark, confusing):
 def poor_hash(monkeypatch):
     """Every word's hash is its length modulo 3."""
     poor = lambda data, starts, ends, seed=0: ((ends - starts) % 3).astype(np.uint64) + np.uint64(seed)
-    for module in (textkernel, encode, near_dup):
+    for module in (textkernel, encode):
         monkeypatch.setattr(module, "span_hashes", poor)
+    monkeypatch.setattr(near_dup, "_hashes", lambda digests: (digests[:, 0] % 3).astype(np.uint64))
 
 
 def test_a_poor_hash_changes_no_exact_result(poor_hash):
@@ -76,6 +77,7 @@ def test_a_poor_hash_changes_no_exact_result(poor_hash):
         at = np.concatenate([[0], np.cumsum(counts)])
         assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == tool.raw([t or "" for t in texts])
     sets = exact_sets(pa.array(texts), 2)
+    assert [len(x) for x in shingle_sets(pa.array(texts), 2)] == [len(x) for x in sets]
     for k, a in enumerate(texts):
         for j, b in enumerate(texts):
             assert len(np.intersect1d(sets[k], sets[j])) == len(shingles(a, 2) & shingles(b, 2))
@@ -94,3 +96,28 @@ def test_sets_have_the_size_of_brute_force_sets():
 
 def test_words_pattern():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1fb\x0bc") == ["a\x1fb", "c"]
+
+
+#: Two words with one hash under a hash of eight bytes a step without a key.
+TWINS = "aaaaaaaabbbbbbbb", 'fpttvg1b.$[$i",9'
+
+
+def test_words_made_to_collide_keep_their_shingles(spark):
+    a, b = TWINS
+    rows = [(1, f"x {a} x", "s"), (2, f"x {a} x {b}", "s"), (3, f"x {b} x", "s"), (4, f"x  {a.upper()} x", "s"), (5, f"x {a} x {a} x", "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), 2, 80).collect()}
+    assert got == {1: (2, 1), 2: (3, 2), 3: (2, 3), 4: (2, 1), 5: (2, 1)}  # 5: the set of 1, in other words
+    long = [(i, " ".join([f"w{k} {a}" for k in range(6)] + [f"w{k} {x}" for k in range(6)]), "s") for i, x in ((1, a), (2, b))]
+    kept = {r.doc_id for r in near_dup.distinct_texts(docs(spark, long)).collect()}
+    one, two = (shingles(t, 5) for _, t, _ in long)
+    assert kept == ({1, 2} if 100 * len(one & two) < 80 * len(one | two) else {1})
+
+
+def test_sets_under_a_hash_of_three_values(monkeypatch):
+    monkeypatch.setattr(near_dup, "_hashes", lambda digests: (digests[:, 0] % 3).astype(np.uint64))
+    texts = [" ".join(f"w{(i * k) % 17}" for i in range(60)) for k in range(1, 12)] + ["", "one", "a b", None]
+    for words in (1, 2, 5):
+        found = list(near_dup.keyed_sets(pa.array(texts), words))
+        assert [len(x) for x, _ in found] == [len(shingles(t or "", words)) for t in texts]
+        assert all((np.diff(x.astype(object)) >= 0).all() for x, _ in found)
+        assert len({k for _, k in found}) == len({tuple((t or "").split()) for t in texts})

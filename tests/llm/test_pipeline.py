@@ -119,6 +119,24 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
         assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_stages_pass_maps_and_long_texts(spark, tmp_path):
+    """Rows equal in id and text stay apart by their other columns, in one order whatever the partitions."""
+    words = lambda n, k: " ".join(f"w{i}x{n}" for i in range(k))
+    made = [(1, words(1, 80), "en", "a", 0, {"k": str(v)}) for v in range(3)] + [(2, words(2, 90_000), "en", "a", 0, None), (3, None, "en", None, 0, {}), (4, words(4, 70), "en", "b", 0, {"b": "c", "a": None})]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, mixes = spark.createDataFrame(made, COLUMNS + ", tags map<string,string>"), []
+    tagged = lambda rows: Counter((r.doc_id, str(sorted((r.tags or {}).items()))) for r in rows)
+    for parts in (1, 5):
+        mixes.append(tagged(corpus_pipeline.mixing(spark, docs.repartition(parts), str(tmp_path)).collect()))
+    assert mixes[0] == mixes[1] and sum(n for (i, _), n in mixes[0].items() if i == 1) > 0
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, str(tmp_path)), "stage")
+        if name == "near-duplicates":
+            assert tagged(docs.collect()) == Counter({(1, "[('k', '0')]"): 1, (2, "[]"): 1, (4, "[('a', None), ('b', 'c')]"): 1})
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_run_deletes_the_tables_of_its_stages(spark, tmp_path, monkeypatch):
     from pathlib import Path
 

@@ -12,16 +12,16 @@ copies add up to its expectation, give or take one.
 
 Scale. The order of a source's documents is by size class (eight to a doubling), then by one of about
 sqrt(rows) / 8 hash buckets, then by size up or down in alternation, then doc_id. Neighbours are alike in
-size, so a source's taken words come near its target and not only its copies. Neither a bucket of the
-largest source nor the list of a source's buckets is large: prefix sums are taken within buckets and
-over buckets, never over a whole source in one task. Words are counted once, into a thin table (id,
+size, so a source's taken words come near its target and not only its copies. Ranks within a source are
+taken in two levels, over ranges of its rows and over the ranges' sizes, so no task holds a source, nor the
+rows that share an id and a text. Words are counted once, into a thin table (id,
 source, size, digest of the text); sums, ranks and copies are made on that, and whole rows are shuffled once,
 when they meet their copies. The table of sources (four numbers each) passes through one task.
 Everything derives from ids, texts and the seed, so reruns and retries agree.
 
 Defined cases: a null text has size 0, a text of any length is read whole; a source whose sizes are all 0
 takes nothing; a null source is a source; rows that share an id are documents of their own, ordered by size,
-then digest; rows that share id, source and text share what they are given, the first rows (in no given order) first; an empty
+then digest; rows that share id, source and text share what they are given, in the order of their other columns (maps as JSON); an empty
 table gives no rows; other columns pass through `mixed` untouched, names that begin with `__` excepted.
 """
 
@@ -30,9 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from ..operators.ranking import ranked
+from .store import ordered, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Parts of a source's rows, for the join with its rate.
+SALTS = 16
 
 
 def _hex(key: Column, begin: int, seed: str) -> Column:
@@ -72,21 +75,17 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     lot = _hex(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("digest")), 1, seed)
     rows = thin.withColumn("bucket", grade * buckets + F.pmod(lot, F.lit(buckets))).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
 
-    held = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     plan = _targets(totals.select("source", "source_size"), weights, share, most)
-    plan = held.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     u = _hex(F.coalesce("source", F.lit("")), 9, seed) / F.lit(float(1 << 32))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.select(F.coalesce("source", F.lit("")).alias("key_"), F.col("source").isNull().alias("none_"), F.col("bucket").alias("bucket_"), "ahead", "source_size", "target", rate.alias("rate"), u.alias("u"))
+    plan = plan.select(F.coalesce("source", F.lit("")).alias("key_"), F.col("source").isNull().alias("none_"), "source_size", "target", rate.alias("rate"), u.alias("u"))
+    plan = plan.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     way = F.when(F.col("bucket") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    rank = F.row_number().over(Window.partitionBy("key", "none", "bucket").orderBy(way, "doc_id", "digest"))
-    ranked = rows.withColumn("rank", rank)
-    both = ranked.join(plan, (F.col("key") == F.col("key_")) & (F.col("none") == F.col("none_")) & (F.col("bucket") == F.col("bucket_")))
+    ranks = ranked(rows, ["key", "none"], ["bucket", way, "doc_id", "digest"], "rank", write=written)
+    both = ranks.join(plan, (F.col("key") == F.col("key_")) & (F.col("none") == F.col("none_")) & (F.col("rank") % SALTS == F.col("salt_")))
     upto = lambda k: F.floor(k * F.col("rate") + F.col("u"))
-    copies = (upto(F.col("ahead") + F.col("rank")) - upto(F.col("ahead") + F.col("rank") - 1)).cast("long")
+    copies = (upto(F.col("rank") + 1) - upto(F.col("rank"))).cast("long")
     return both.select("doc_id", "source", "digest", "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -101,9 +100,12 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     plan = mixing_plan(docs.select("doc_id", "text", "source"), **how)
     key = lambda *parts: F.coalesce(F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})), F.lit(""))  # noqa: E731  never null
     given = plan.groupBy(key("doc_id", "source", "digest").alias("__of")).agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).where("__all > 0")
-    rows = docs.withColumn("__key", key(F.col("doc_id").cast("long").alias("doc_id"), "source", _digest().alias("digest")))
-    rows = rows.join(given, F.col("__key") == F.col("__of"))
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # 1 but for repeated rows; by the join's own shuffle and sort
-    upto = lambda k: F.floor((k * F.col("__all") + F.col("__rows") - 1) / F.col("__rows"))
-    rows = rows.withColumn("__place", place).withColumn("__copies", (upto(F.col("__place")) - upto(F.col("__place") - 1)).cast("int"))
-    return rows.select(F.explode(F.array_repeat(F.struct(*docs.columns), F.col("__copies"))).alias("__row")).select("__row.*")
+    given = written(given.select("__of", F.expr("__all div __rows").alias("__each"), (F.col("__all") % F.col("__rows")).alias("__rest")), "given")
+    keyed = docs.withColumn("__key", key(F.col("doc_id").cast("long").alias("doc_id"), "source", _digest().alias("digest")))
+    rows = lambda part: keyed.join(given.where(part), F.col("__key") == F.col("__of")).drop("__of")
+    out = rows("__rest = 0").select(*docs.columns, F.col("__each").cast("int").alias("__copies"))
+    if given.where("__rest > 0").take(1):  # of repeated rows whose copies do not come out even, the first by their other columns get one more
+        order = [F.col(f.name) if ordered(f.dataType) else F.to_json(F.struct(f.name)) for f in docs.schema if f.name not in ("doc_id", "source", "text")]
+        uneven = ranked(rows("__rest > 0"), ["__key"], order, "__place", write=written)
+        out = out.union(uneven.select(*docs.columns, (F.col("__each") + (F.col("__place") < F.col("__rest")).cast("long")).cast("int").alias("__copies")))
+    return out.select(F.explode(F.array_repeat(F.struct(*docs.columns), F.col("__copies"))).alias("__row")).select("__row.*")

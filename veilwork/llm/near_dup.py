@@ -7,8 +7,9 @@ coordinate is empty, so large sets take one or two rounds and every non-empty se
 coordinates. The share of equal coordinates estimates the Jaccard similarity without bias and
 obeys Hoeffding's bound. (Dahlgaard, Knudsen, Thorup: Fast Similarity Sketching, 2017.)
 
-Candidates. Documents with equal sets form a class (by a digest of two unrelated 64-bit hashes of every
-shingle) and only its least document goes on. Classes that agree on one of BANDS bands of ROWS coordinates
+Candidates. Documents with equal words in equal order form a class (by BLAKE2b over their words' BLAKE2b digests)
+and only its least document goes on; equal sets of other texts are linked like any others. Shingles are counted by
+their words, not by hashes. Classes that agree on one of BANDS bands of ROWS coordinates
 share a bucket. At similarity 0.8 a pair misses all 51 bands with probability (1 - 0.8^5)^51 = 1.6e-9.
 
 Verification. All-pairs work inside a bucket is avoided in two steps. First each class is compared
@@ -20,7 +21,7 @@ of its short prefix (what may lie before the needed overlap with a set of its ow
 larger one's long prefix (the same for a set of any allowed size), at places that leave room for the
 overlap. So copies that differ by more than the threshold, of a group however large, share no such place,
 though they share most shingles; and no link is lost. Links are confirmed on full sets whose words were
-compared byte by byte; hashes only propose.
+compared byte by byte; 64-bit hashes only propose.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; texts of any length are
 read whole. `near_duplicates`: rows with a null doc_id are kept, link with nothing and have a null component;
@@ -40,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import discard, written
-from .textkernel import LOWER, NON_SPACE, PIECE_BYTES, mix64, pieces, run_ranks, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
+from .store import discard, ordered, written
+from .textkernel import LOWER, NON_SPACE, PIECE_BYTES, mix64, pieces, run_ranks, span_ranks, sub_batches, text_buffers, word_bounds
 
 COORDS, ROWS, BANDS = 255, 5, 51
 #: Slots of the table of shingle counts.
@@ -57,28 +58,55 @@ def _rolled(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """A row of 16 bytes (BLAKE2b) for each rank of words."""
+    first = np.zeros(int(ranks.max()) + 1 if len(ranks) else 0, np.int64)
+    first[ranks] = np.arange(len(ranks))
+    raw = data.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.uint8).reshape(-1, 16)
+
+
+def _hashes(digests: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its digest."""
+    return np.ascontiguousarray(digests[:, :8]).view("<u8").ravel()
+
+
+def _distinct(hashes: np.ndarray, ranks: np.ndarray, words: int) -> np.ndarray:
+    """The sorted hashes of the distinct runs of `words` ranks; runs are told apart by their words, so a hash may stand twice."""
+    own, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.zeros(len(hashes), bool)
+    for k in range(words):
+        odd |= ranks[k : k + len(hashes)] != ranks[where[back] + k]
+    if odd.any():
+        others = {tuple(ranks[i : i + words].tolist()): hashes[i] for i in np.flatnonzero(odd).tolist()}
+        own = np.sort(np.concatenate([own, np.array([*others.values()], _U)]))
+    return own
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text; fewer words than `words` make one shingle."""
-    return (a for a, _ in keyed_sets(column, words, False))
+    """Sorted 64-bit hashes of the distinct shingles of each text; fewer words than `words` make one shingle."""
+    return (x for x, _ in keyed_sets(column, words))
 
 
-def keyed_sets(column: pa.Array, words: int, twice: bool = True) -> Iterator[tuple[np.ndarray, bytes]]:
-    """`shingle_sets`, each with a digest of it and (if `twice`) of second hashes of the same shingles."""
+def keyed_sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """`shingle_sets`, each with a digest of the text's words in their order."""
     for first, end, data, off in pieces(column):
         data = LOWER[data]
         starts, ends, at = word_bounds(data, off, NON_SPACE)
-        levels = [span_hashes(data, starts, ends, seed) for seed in range(1 + twice)]
-        rolled = [_rolled(h, words) for h in levels]
+        ranks = span_ranks(data, starts, ends)
+        digests = _word_digests(data, starts, ends, ranks)
+        hashes = _hashes(digests)[ranks]
+        rolled = _rolled(hashes, words)
         for i in range(end - first):
-            n = int(at[i + 1] - at[i])
+            a, b = at[i], at[i + 1]
+            n = int(b - a)
             if n >= words:
-                own, where = np.unique(rolled[0][at[i] : at[i + 1] - words + 1], return_index=True)
-                also = [r[at[i] + where] for r in rolled[1:]]
+                own = _distinct(rolled[a : b - words + 1], ranks[a:b], words)
             elif n:  # told apart from longer sequences by the number of words
-                own, *also = (mix64(_rolled(h[at[i] : at[i + 1]], n) + _U(n)) for h in levels)
+                own = mix64(_rolled(hashes[a:b], n) + _U(n))
             else:
-                own, also = levels[0][:0], []
-            yield own, hashlib.blake2b(b"".join(x.tobytes() for x in (own, *also)), digest_size=16).digest() if twice else b""
+                own = hashes[:0]
+            yield own, hashlib.blake2b(digests[ranks[a:b]].tobytes(), digest_size=16).digest()
 
 
 def exact_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -308,10 +336,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def distinct_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (any columns beside doc_id and text) without near-duplicates: one document of each group, that of the least doc_id.
 
-    The rows themselves are shuffled once, by id and digest, where repeated rows are combined first.
+    The rows themselves are shuffled once, by id and digest, where repeated rows are combined first: the least by their
+    other columns stays (a map, which has no order, counts as its JSON).
     """
     facts, named = _groups(_identified(docs), "true", words, percent, by_id=False)
     stay = named.where("rep = label").select("doc_id", "digest").union(facts.where("set_key is null").select("doc_id", "digest").distinct())
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("__doc"), _digest().alias("__digest")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    order = F.struct(*(F.col(f.name) if ordered(f.dataType) else F.to_json(F.struct(f.name)).alias(f.name) for f in docs.schema if f.name != "text"))
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("__doc"), _digest().alias("__digest")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
     return rows.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi").select("__row.*")

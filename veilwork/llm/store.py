@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..session import shared_dir
 
@@ -62,6 +63,12 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         discard(*(df for df in made if not any(df is x for x in kept)))
 
 
+def ordered(kind: DataType) -> bool:
+    """Whether Spark can order values of a type."""
+    inner = [f.dataType for f in kind] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return not isinstance(kind, (MapType, VariantType)) and all(map(ordered, inner))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
