@@ -6,10 +6,12 @@ their own, keyed by document, so a review can be done anywhere and joined later.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import known_type, merge_ranges
+from .islands import islands
+from .spans import known_type
+from .terms import term_places
 
 #: Wording of the handed-on text.
 REQUEST, TEXT = "REQUEST", "TEXT"
@@ -33,31 +35,28 @@ def decide(spans: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataF
 def reviewed(docs: DataFrame, spans: DataFrame, decisions: DataFrame, terms: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """docs (key, text, ...) with a column `confirmed`: the spans that outlast the review, an array for `redact` or `anonymize`.
 
-    terms (key, term, type): every place of a term in its document, in any case, is one more span; it takes in the
-    detected spans that it overlaps, rejected ones too, as often as it grows, and its type wins.
+    terms (key, term, type): every place of a term in its document, in any case, is one more span; places of one term do
+    not overlap. It takes in the detected spans that it overlaps, rejected ones too, as often as it grows, and its type wins
+    (of several terms the last one's, in code-point order). Blank terms are none; a null type is `detail`.
     """
-    kept = decide(spans, decisions, key)
-    found = kept.groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "confirmed", F.lit(False).alias("manual"))).alias("__spans"))
-    rows = docs.join(found, F.col(key) == F.col("__key"), "left").drop("__key")
-    kind = "array<struct<start:int,end:int,type:string,confirmed:boolean,manual:boolean>>"
-    spans_ = F.coalesce("__spans", F.array().cast(kind)).cast(kind)
+    rows = decide(spans, decisions, key).select(F.col(key).alias("__key"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "confirmed", F.lit(-1).alias("n"))
     if terms is not None:
-        own = terms.where("trim(term) <> ''").groupBy(F.col(key).alias("__term_key")).agg(F.array_sort(F.collect_set(F.struct(F.trim("term").alias("term"), known_type(F.col("type")).alias("type")))).alias("__terms"))
-        rows = rows.join(own, F.col(key) == F.col("__term_key"), "left").drop("__term_key")
-        body = F.coalesce(F.col("text"), F.lit(""))
-        low = F.lower(body)
-        places = lambda t: F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(body) - F.length(t["term"]))), lambda i: F.substring(low, i + 1, F.length(t["term"])) == F.lower(t["term"]))
-        manual = F.flatten(F.transform(F.coalesce("__terms", F.array().cast("array<struct<term:string,type:string>>")), lambda t: F.transform(places(t), lambda i: F.struct(i.alias("start"), (i + F.length(t["term"])).alias("end"), t["type"].alias("type"), F.lit(True).alias("confirmed"), F.lit(True).alias("manual")))))
-        spans_ = F.concat(spans_, manual.cast(kind))
-    rows = rows.withColumn("__all", spans_)
+        said = terms.where(F.trim("term") != "").select(F.col(key).alias("__key"), F.struct(F.trim("term").alias("term"), known_type(F.col("type")).alias("type")).alias("t"))
+        own = said.groupBy("__key").agg(F.array_sort(F.collect_set("t")).alias("__terms"))
+        met = docs.select(F.col(key).alias("__of"), F.coalesce(F.col("text"), F.lit("")).alias("__text")).join(own, F.col("__of") == F.col("__key"))
+        found = F.explode_outer(term_places(F.col("__text"), F.transform("__terms", lambda t: t["term"])))
+        manual = met.select("__key", "__terms", found.alias("p")).where("p is not null")
+        rows = rows.unionByName(manual.select("__key", "p.start", "p.end", F.get("__terms", F.col("p.n"))["type"].alias("type"), F.lit(True).alias("confirmed"), F.col("p.n").alias("n")))
     # Unions of overlapping spans; one that holds a manual span is confirmed and of its type, others keep their confirmed members.
-    unions = merge_ranges(F.coalesce(F.col("text"), F.lit("")), F.col("__all"))
-    inside = lambda u: F.filter("__all", lambda s: (s["start"] >= u["start"]) & (s["end"] <= u["end"]))
-    by_hand = lambda u: F.filter(inside(u), lambda s: s["manual"])
-    wide = lambda u: F.array(F.struct(u["start"].alias("start"), u["end"].alias("end"), F.element_at(by_hand(u), -1)["type"].alias("type")))
-    plain = lambda u: F.transform(F.filter(inside(u), lambda s: s["confirmed"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
-    out = F.array_sort(F.flatten(F.transform(unions, lambda u: F.when(F.size(by_hand(u)) > 0, wide(u)).otherwise(plain(u)))))
-    return rows.withColumn("confirmed", out).drop("__all", "__spans", "__terms")
+    rows = islands(rows, "__key")
+    whole = Window.partitionBy("__key", "island")
+    by_hand = F.max("n").over(whole) >= 0
+    last = F.max(F.struct("n", "type")).over(whole)["type"]
+    edges = F.min("start").over(whole), F.max("end").over(whole)
+    rows = rows.select("__key", F.when(by_hand, edges[0]).otherwise(F.col("start")).alias("start"), F.when(by_hand, edges[1]).otherwise(F.col("end")).alias("end"), F.when(by_hand, last).otherwise(F.col("type")).alias("type"), (by_hand | F.col("confirmed")).alias("confirmed"))
+    kept = rows.where("confirmed").groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "type"))).alias("confirmed"))
+    both = docs.join(kept, F.col(key) == F.col("__key"), "left").drop("__key")
+    return both.withColumn("confirmed", F.coalesce("confirmed", F.array().cast("array<struct<start:int,end:int,type:string>>")))
 
 
 def request_text(task: Column, text: Column) -> Column:
