@@ -27,8 +27,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,16 +74,26 @@ _KEY = re.compile(r"licen[cs]e", re.IGNORECASE)
 # Every whole text and header has one of these.
 _LEGAL = re.compile(r"licen[cs]e|permi(?:ssion|t)|redistribut|public domain|warrant", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
-_MARK = re.compile(r"^[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*/|-->)[ \t\r]*$", re.IGNORECASE)
+_MARK = re.compile(r"[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--|dnl\b|rem\b)?[ \t]*", re.IGNORECASE)
+_CLOSERS = ("*/", "-->")
 _BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("{-", "-}"), ("(*", "*)"))
 _LINES = ("//", "#", "--", ";", "%", "dnl ", "rem ", "REM ", "*")
+#: Lines whose verdict is kept, and the longest of them.
+KEPT_LINES, KEPT_LINE = 4096, 2000
 #: Names of license files; source files with such a name are none.
 LICENSE_FILE = r"(?i)(?:^|/)(?!(?:[^/]*)\.(?:py|js|jsx|ts|tsx|go|rs|java|kt|scala|c|cc|cpp|cs|h|hpp|rb|php|swift|sh|json|ya?ml|xml|toml|css)$)(?:[^/]*[-_.])?(?:(?:un)?licen[cs]es?|copying|copyright)(?:[-_.][^/]*)?$"
 
 
+def _bare(line: str) -> str:
+    line = line[_MARK.match(line).end() :]
+    end = line.rstrip(" \t\r")
+    closer = next((c for c in _CLOSERS if end.endswith(c)), "")
+    return end[: -len(closer)].rstrip(" \t") if closer else line
+
+
 def unmarked(text: str) -> str:
     """A text without the comment marks at the ends of its lines."""
-    return "\n".join(_MARK.sub("", line) for line in text.split("\n"))
+    return "\n".join(map(_bare, text.split("\n")))
 
 
 def header(text: str) -> str:
@@ -116,6 +126,10 @@ class Templates:
         self.idf = {t: math.log((1 + len(drawn)) / (1 + n)) + 1 for t, n in seen.items()}
         self.rare = math.log((1 + len(drawn)) / 2) + 1
         self.vectors = [(name, len(t.split()), self._unit(terms(t))) for name in sorted(texts) for t in texts[name]]
+        self.sizes: dict[int, list[int]] = {}
+        for k, (_, size, _) in enumerate(self.vectors):
+            self.sizes.setdefault(size, []).append(k)
+        self.lines: dict[str, tuple[str | None, float]] = {}
         self.holders: dict = {}
         for k, (_, _, vector) in enumerate(self.vectors):
             for t, w in vector.items():
@@ -126,18 +140,77 @@ class Templates:
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return {t: w / norm for t, w in weights.items()}
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one object a task
     def line(self, line: str) -> tuple[str | None, float]:
-        """The best template for a line, over the stretches of the template's length that hold the keyword."""
-        words, top = line.split(), (None, 0.0)
-        for i in (i for i, w in enumerate(words) if _KEY.search(w)):
-            for name, size, vector in self.vectors:
-                for begin in range(max(0, i - size + 1), i + 1):
-                    own = self._unit(terms(" ".join(words[begin : begin + size])))
-                    score = round(sum(w * vector.get(t, 0.0) for t, w in own.items()), 6)
-                    if score > top[1]:
-                        top = (name, score)
-        return top
+        """The best template for a line, over the stretches of the template's length that hold the keyword.
+
+        Of equal ones that of the earliest keyword, then the first template, then the earliest stretch.
+        """
+        if len(line) > KEPT_LINE:
+            return self._line(line)
+        if line not in self.lines:
+            if len(self.lines) >= KEPT_LINES:
+                self.lines.clear()
+            self.lines[line] = self._line(line)
+        return self.lines[line]
+
+    def _line(self, line: str) -> tuple[str | None, float]:
+        tokens = line.split()
+        keys = np.array([i for i, w in enumerate(tokens) if _KEY.search(w)], np.int64)
+        if not len(keys):
+            return None, 0.0
+        owner = np.array([i for i, t in enumerate(tokens) for _ in _WORD.findall(t.lower())], np.int64)
+        words = _WORD.findall(" ".join(tokens).lower())
+        first = np.searchsorted(owner, np.arange(len(tokens) + 1))  # each token's first word
+        best: list[tuple] = []
+        for size in self.sizes:
+            turns = np.zeros(len(tokens) + 1, np.int64)  # where stretches that hold a keyword begin and cease to
+            np.add.at(turns, np.maximum(keys - size + 1, 0), 1)
+            np.add.at(turns, keys + 1, -1)
+            begins = np.flatnonzero(np.cumsum(turns) > 0)
+            for part in np.split(begins, np.flatnonzero(np.diff(begins) > 1) + 1):
+                a, ends = first[part], first[np.minimum(part + size, len(tokens))]
+                for k, scores in self._slide(words, a, ends, size):
+                    top = scores.max()
+                    if top > 0:
+                        held = part[scores == top]
+                        key = keys[np.searchsorted(keys, held)]  # the earliest keyword of each stretch
+                        j = int(np.lexsort((held, key))[0])
+                        best.append((-float(top), int(key[j]), k, int(held[j])))
+        return (self.vectors[min(best)[2]][0], -min(best)[0]) if best else (None, 0.0)
+
+    def _slide(self, words: list[str], begins: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(template, rounded similarities) of the word ranges, which move to the right, for the templates of a size.
+
+        Dot products are differences of running sums; the ranges' lengths follow the counts of the words that enter and leave.
+        """
+        low, high = int(begins[0]), int(ends[-1])
+        words = words[low:high]
+        terms_ = [words, list(zip(words, words[1:], strict=False))]
+        weights = [np.array([self.idf.get(t, self.rare) for t in own]) for own in terms_]
+        begins, ends = begins - low, ends - low
+        lasts = np.maximum(ends - 1, begins)  # pairs end one word earlier
+        squares, norm, at, to = np.zeros(len(begins)), 0.0, [0, 0], [0, 0]
+        counts: dict = {}
+        for n, (a, e, e2) in enumerate(zip(begins.tolist(), ends.tolist(), lasts.tolist(), strict=True)):
+            for kind, end in ((0, e), (1, e2)):
+                while to[kind] < end:
+                    t, w = terms_[kind][to[kind]], float(weights[kind][to[kind]])
+                    c = counts[t] = counts.get(t, 0) + 1
+                    norm += (2 * c - 1) * w * w
+                    to[kind] += 1
+                while at[kind] < min(a, to[kind]):
+                    t, w = terms_[kind][at[kind]], float(weights[kind][at[kind]])
+                    c = counts[t] = counts[t] - 1
+                    norm -= (2 * c + 1) * w * w
+                    at[kind] += 1
+            squares[n] = norm
+        whole = np.sqrt(np.maximum(squares, 1e-9))
+        for k in self.sizes[size]:
+            vector, dot = self.vectors[k][2], 0.0
+            for kind, stop in ((0, ends), (1, lasts)):
+                run = np.concatenate([[0.0], np.cumsum(weights[kind] * np.array([vector.get(t, 0.0) for t in terms_[kind]]))])
+                dot = dot + run[stop] - run[begins]
+            yield k, np.round(np.where(squares > 1e-9, dot / whole, 0.0), 6)
 
     def best(self, text: str | None) -> tuple[str | None, float]:
         top: tuple[str | None, float] = (None, 0.0)

@@ -22,6 +22,7 @@ rows; other columns are ignored; findings carry a digest of the candidate, not t
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -51,8 +52,11 @@ _OTHER = {"auth": "auth(?!or(?!i[sz]))", "secret": "secret(?!ar)", "token": "tok
 _TOLD_WORDS = "|".join(_OTHER.get(w, w) for w in sorted((w for w in ANNOUNCE if w != "private key"), key=len, reverse=True))
 _NAME = rf"(?:{_TOLD_WORDS})[A-Za-z0-9_.-]*"
 _GIVEN = r"""[\"'`]?\]?[ \t]*(?:=>|:=|==?|:)[ \t]*(?:[Bb]earer[ \t]+|[Bb]asic[ \t]+)?"""
-_VALUE = rf"""(?:"(?P<d>[^"\r\n]{{{LEAST_TOLD},}})"|'(?P<s>[^'\r\n]{{{LEAST_TOLD},}})'|`(?P<b>[^`\r\n]{{{LEAST_TOLD},}})`|["'`]?(?P<v>[^\s"'`,;&]{{{LEAST_TOLD},}}))"""
-_TOLD = re.compile(rf"(?i:{_NAME})(?:{_GIVEN}|[ \t]+){_VALUE}".encode())
+_VALUE = rf"""(?:"(?P<d>[^"\r\n]{{{LEAST_TOLD},}})"|'(?P<s>[^'\r\n]{{{LEAST_TOLD},}})'|`(?P<b>[^`\r\n]{{{LEAST_TOLD},}})`|["'`]?(?P<v>[^\s"'`,;&]{{{LEAST_TOLD}}}))"""
+#: From the end of a name on; of a stretch without quotes only the first bytes, for `_STRETCH` to go on.
+_TOLD = re.compile(rf"(?:{_GIVEN}|[ \t]+){_VALUE}".encode())
+_STRETCH = re.compile(rb"""[^\s"'`,;&]*""")
+_NAME_RUN = re.compile(rb"[A-Za-z0-9_.-]*")
 _TOLD_GUARD = re.compile(f"(?i:{_TOLD_WORDS})".encode())
 _TOLD_END = re.compile(rf"(?i:{_NAME}|private key-*)(?P<given>{_GIVEN}|\s+)[\"'`]?$")
 _STARTS = "AKIA ASIA AGPA AIDA AROA AIPA ANPA ANVA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ rk_live_ sk_test_ xoxa- xoxb- xoxp- xoxr- xoxs- AIza ya29. eyJ npm_ pypi- dop_v1_ hf_ SG.".split()
@@ -233,17 +237,20 @@ def _special(text: bytes) -> list[tuple[int, int]]:
     """Announced and prefixed spans of a text in order, disjoint; of two that overlap, the one that begins first stays."""
     found = [m.span() for m in _PREFIXED.finditer(text)]
     at = _TOLD_GUARD.search(text)
+    stretch = 0  # where the last stretch without quotes ends; one that begins in it ends there too
     while at:  # a value may itself be the name of the next one: `auth: token=x`
-        m = _TOLD.match(text, at.start())
-        step = at.end()
+        # All names in a run of name characters end where it ends, and what follows a name holds none of these.
+        step = _NAME_RUN.match(text, at.end()).end()
+        m = _TOLD.match(text, step)
         if m:
             begin, end = m.span(m.lastgroup)
             if m.lastgroup != "v":
                 found.append((begin, end))
                 step = end
-            elif not _NAMES_NEXT.match(text, begin):
-                found.append((begin, begin + len(text[begin:end].rstrip(b")]}>.:"))))
-                step = max(step, end)
+            elif not _names_next(text, begin):
+                stretch = stretch if end <= stretch else _STRETCH.match(text, end).end()
+                found.append((begin, begin + len(text[begin:stretch].rstrip(b")]}>.:"))))
+                step = max(step, stretch)
         at = _TOLD_GUARD.search(text, step)
     out: list[tuple[int, int]] = []
     for begin, end in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -252,8 +259,13 @@ def _special(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-#: A stretch that goes on with a name and a sign of assignment is no value.
-_NAMES_NEXT = re.compile(rf"(?i:[A-Za-z0-9_.-]*?{_NAME}){_GIVEN}[^\s]".encode())
+def _names_next(text: bytes, begin: int) -> bool:
+    """Whether a stretch goes on with a name and a sign of assignment: then it is no value."""
+    end = _NAME_RUN.match(text, begin).end()
+    return bool(_NEXT_GIVEN.match(text, end)) and bool(_TOLD_GUARD.search(text, begin, end))
+
+
+_NEXT_GIVEN = re.compile(rf"{_GIVEN}[^\s]".encode())
 
 
 def candidates(column: pa.Array) -> list[tuple[int, int, int, str, str, str]]:
@@ -290,8 +302,10 @@ def candidates(column: pa.Array) -> list[tuple[int, int, int, str, str, str]]:
                 j += 1
             if e - s >= LEAST:
                 spans.append((s, e))
+        firsts = [h[0] for h in heads]
         for s, e in sorted(spans):
-            head = next((h for a, b, h in heads if a <= s < b), None)
+            near = bisect.bisect_right(firsts, s) - 1  # keys lie apart
+            head = heads[near][2] if near >= 0 and s < heads[near][1] else None
             before = text[max(0, s - AROUND) : s] if head is None else head[-AROUND:] + b"\n"
             out.append((r, int(chars[base + s] - chars[base]), int(chars[base + e] - chars[base]), text[s:e].decode(errors="ignore"), before.decode(errors="ignore"), text[e : e + AROUND].decode(errors="ignore")))
     return out
