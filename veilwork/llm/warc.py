@@ -11,9 +11,12 @@ are not in it. Folders are reached through pyarrow's file systems (local or moun
 Reading. Archives are read as streams, a record at a time, and parsed by Content-Length. Each file gives
 a run of index lines sorted by URL key, timestamp and page, with the offset and length of its member.
 
-Merging. Runs are range-partitioned by that same key, then file and offset, into ranges of about RANGE_ROWS
-lines; in each range a loser tree merges the slices of the runs, comparing one head per run, so the
-result is globally ordered over the partitions: the capture history of each URL. No two lines have one key,
+Merging. More than FAN_IN runs are merged in rounds: runs are dealt into groups of about FAN_IN, each group becomes one
+longer run, and so on, so that a loser tree never has many more sources than that and the number of passes
+over the index is the logarithm of the files to the base FAN_IN. In each round, and in the last one, which
+takes all runs, lines are range-partitioned by (group and) the same key, then file and offset, into ranges of about
+RANGE_ROWS lines; in each range a loser tree merges the slices of the runs, comparing one head per run, so the
+result is globally ordered over the partitions: the capture history of each URL. A task reads several files. No two lines have one key,
 so one host or URL with a large share of all captures is spread over many ranges, and a task holds one
 range of index lines, whatever the size of the corpus.
 
@@ -41,11 +44,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, written
+from .store import discard, new_path, written
 
 FILE_BYTES, RANGE_ROWS = 64 << 20, 200_000
+#: Runs that are merged at once, and files that a task reads at most where there are more files than tasks at a time.
+FAN_IN, TASK_FILES = 128, 64
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, first long, length long"
+_KEY = ["url_key", "captured", "page_id", "run", "first"]
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
 _KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
@@ -242,14 +248,13 @@ def merge_order(keys: Callable[[int], tuple], stretches: list[tuple[int, int]])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index: its rows come in slices of sorted runs, in any order."""
+    """One range of the index: its rows come in slices of sorted runs, in any order; those of a group become one run."""
     found = list(batches)  # about RANGE_ROWS rows
     if not sum(map(len, found)):
         return
     rows = pa.Table.from_batches(found)
-    run = rows.column("run").to_pylist()
-    keys = [(u, t, p is not None, p or 0, r, f) for u, t, p, r, f in zip(*(rows.column(c).to_pylist() for c in ("url_key", "captured", "page_id")), run, rows.column("first").to_pylist(), strict=True)]
-    edges = [0, *(i for i in range(1, len(keys)) if run[i] != run[i - 1] or keys[i] < keys[i - 1]), len(keys)]
+    keys = [(g, u, t, p is not None, p or 0, r, f) for g, u, t, p, r, f in zip(*(rows.column(c).to_pylist() for c in ("merged", "url_key", "captured", "page_id", "run", "first")), strict=True)]
+    edges = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
     order = merge_order(keys.__getitem__, list(zip(edges, edges[1:], strict=False)))
     yield from rows.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=10_000)
 
@@ -257,9 +262,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged_index(archives: DataFrame) -> DataFrame:
     """archives (file, records) -> their index in the order of URL key, timestamp and page, over all partitions."""
     files, lines = archives.agg(F.count("*"), F.sum("records")).first()
-    runs = written(archives.select("file").repartition(max(1, files)).mapInArrow(_runs, INDEX), "runs")
-    ranges = runs.repartitionByRange(max(1, -(-(lines or 0) // RANGE_ROWS)), "url_key", "captured", "page_id", "run", "first")
-    return ranges.mapInArrow(_merge, INDEX)
+    tasks = min(max(1, files), max(4 * archives.sparkSession.sparkContext.defaultParallelism, -(-files // TASK_FILES)))
+    runs = written(archives.select("file").repartition(tasks).mapInArrow(_runs, INDEX), "runs")
+    ranges, groups = max(1, -(-(lines or 0) // RANGE_ROWS)), files
+    part = F.xxhash64("run")
+    while groups > FAN_IN:
+        groups = -(-groups // FAN_IN)
+        part = F.pmod(part, F.lit(groups))  # groups of groups: what one round has joined stays together
+        longer = written(runs.withColumn("merged", part.cast("int")).repartitionByRange(ranges, "merged", *_KEY).mapInArrow(_merge, INDEX + ", merged int"), "runs")
+        discard(runs)
+        runs = longer.drop("merged")
+        runs.veilwork_path = longer.veilwork_path
+    return runs.withColumn("merged", F.lit(0)).repartitionByRange(ranges, *_KEY).mapInArrow(_merge, INDEX + ", merged int").drop("merged")
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
