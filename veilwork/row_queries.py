@@ -11,6 +11,7 @@ from .operators import changes
 from .operators.detect import long_spans
 from .operators.evaluate import metrics
 from .operators.islands import confirmed, ranges, redacted, resolved
+from .operators.lexicon import detect_with_lexicon
 from .operators.persons import person_runs, person_spans, with_persons
 from .operators.replace import redact
 from .operators.review import reviewed
@@ -172,3 +173,20 @@ def changed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     memo, new = changes.refreshed(second, memo, find=email)
     rows = changes.remembered(second, memo).join(new.select("digest", F.lit(True).alias("__new")), "digest", "left")
     return long_spans(rows.withColumn("computed", F.coalesce("__new", F.lit(False))), "doc_id", "computed").select("doc_id", "computed", "start", "end", "value")
+
+
+_LETTERS = "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij')"
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey, 'Ga' || {_LETTERS} AS given, 'Fom' || {_LETTERS} AS family FROM customer)
+SELECT c_custkey, 7 AS start, (7 + length(value))::INTEGER AS "end", value, 'name' AS type, 'list' AS layer, confidence FROM (
+  SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN family ELSE given || ' ' || family END AS value, CASE c_custkey % 3 WHEN 0 THEN 0.69::DOUBLE ELSE 0.94::DOUBLE END AS confidence FROM n WHERE c_custkey % 3 < 2)""")
+def lexicon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon with two names for each customer, as a table; a third of the texts hold names that are not in it."""
+    letters = F.expr(_LETTERS)
+    base = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Ga"), letters).alias("given"), F.concat(F.lit("Fom"), letters).alias("family"))
+    names = base.select(F.explode(F.array(F.struct(F.lower("given").alias("name"), F.lit("given").alias("kind")), F.struct(F.upper("family").alias("name"), F.lit("family").alias("kind")))).alias("n")).select("n.*")
+    said = F.when(F.col("c_custkey") % 3 == 0, F.col("family")).when(F.col("c_custkey") % 3 == 1, F.concat("given", F.lit(" "), "family")).otherwise(F.concat(F.lit("Xu"), letters))
+    docs = base.select("c_custkey", F.concat(F.lit("we saw "), said, F.lit(" there")).alias("text"))
+    return long_spans(detect_with_lexicon(docs, names, "c_custkey", columns=False), "c_custkey").where("type = 'name'")
