@@ -17,7 +17,7 @@ from .operators.detect import detect, long_spans
 from .operators.evaluate import score
 from .operators.matching import matches
 from .operators.names import SEED_FAMILY, SEED_GIVEN, NameLists
-from .operators.replace import anonymize, code_table, redact, reserved_tokens, restore, restore_flags
+from .operators.replace import MALFORMED, MISSING, UNKNOWN, anonymize, code_table, redact, reserved_tokens, restore, restore_flags
 from .operators.sessions import session_codes
 from .operators.spans import apply_manual, merge_confirmed, merge_ranges, resolve_overlaps
 from .plans.rules import regex_candidates
@@ -343,9 +343,9 @@ def anonymize_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CODED}
-SELECT doc_id, pseudonym, 'Placeholder missing from reply; check the source and intended meaning' AS reason FROM c WHERE ord > 1
-UNION ALL SELECT DISTINCT doc_id, '[[PERSON_999]]', 'Unknown placeholder; no matching session mapping' FROM c
-UNION ALL SELECT DISTINCT doc_id, '[DATE_1]', 'Malformed placeholder; left unchanged' FROM c""")
+SELECT doc_id, pseudonym, '{MISSING}' AS reason FROM c WHERE ord > 1
+UNION ALL SELECT DISTINCT doc_id, '[[PERSON_999]]', '{UNKNOWN}' FROM c
+UNION ALL SELECT DISTINCT doc_id, '[DATE_1]', '{MALFORMED}' FROM c""")
 def restore_flag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply that holds the first code in lower case, an unknown one and a malformed one."""
     reply = F.concat(F.lit("Dear "), F.lower(F.get("codes", F.lit(0))["pseudonym"]), F.lit(" and [[PERSON_999]] of [DATE_1]"))
@@ -395,11 +395,12 @@ def evaluate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s AS serial, CASE WHEN s = 60 THEN '1900-02-29' ELSE (DATE '1899-12-31' + (s - (s > 60)::INT)::INT)::VARCHAR END || CASE WHEN s % 4 = 0 THEN '' ELSE 'T' || ['06:00:00', '12:00:00', '18:00:00'][s % 4] END AS iso
-FROM (SELECT unnest(range(0, 50000))::INTEGER AS s)""")
+SELECT o_orderkey, s AS serial, CASE WHEN s = 60 THEN '1900-02-29' ELSE (DATE '1899-12-31' + (s - (s > 60)::INT)::INT)::VARCHAR END || CASE WHEN s % 4 = 0 THEN '' ELSE 'T' || ['06:00:00', '12:00:00', '18:00:00'][s % 4] END AS iso
+FROM (SELECT o_orderkey, (o_orderkey % 50000)::INTEGER AS s FROM orders)""")
 def excel_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(50_000).select(F.col("id").cast("int").alias("serial"))
-    return rows.select("serial", excel_date(F.col("serial") + (F.col("serial") % 4) / 4.0).alias("iso"))
+    """Each order's key as the serial of a day and a quarter of it."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 50_000).cast("int").alias("serial"))
+    return rows.select("o_orderkey", "serial", excel_date(F.col("serial") + (F.col("serial") % 4) / 4.0).alias("iso"))
 
 
 @query("SELECT c_nationkey, string_agg('File name: \"' || c_name || '\"', chr(10) ORDER BY c_name) AS text FROM customer GROUP BY c_nationkey")
