@@ -23,18 +23,22 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, written
+from .textkernel import mix64
 
 #: Letters of words, as a regular expression.
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 PARTS = 3
+#: Places of a matrix of words.
+PLACES = 1 << 19
+_U = np.uint64
 FACTOR = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,59 +59,106 @@ def word_counts(docs: DataFrame, least_length: int = 7, least_count: int = 2, sl
     return rows.groupBy(F.col("run").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: dict[str, int] = {}
-        for word in batch.column(0).to_pylist():
-            for k in range(len(word) - 1):
-                pair = word[k : k + 2]
-                seen[pair] = seen.get(pair, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["pair", "n"])
+def _grids(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, lengths, code points padded with 0): words of like length, PLACES places at a time."""
+    words = column.to_pylist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for grade in np.unique(width := 1 << np.ceil(np.log2(np.maximum(sizes, 8))).astype(np.int64)).tolist():
+        own = np.flatnonzero(width == grade)
+        for k in range(0, len(own), max(1, PLACES // grade)):
+            rows = own[k : k + max(1, PLACES // grade)]
+            letters = np.frombuffer("".join(words[i] for i in rows.tolist()).encode("utf-32-le"), "<u4")
+            grid = np.zeros((len(rows), int(sizes[rows].max())), np.uint64)
+            grid[np.arange(grid.shape[1]) < sizes[rows, None]] = letters
+            yield rows, sizes[rows], grid
 
 
-def _rarest(counts):
-    """(word, n) -> word, n, places: where the word's three first bigrams of the global order begin (from 0)."""
+def _pairs(grid: np.ndarray) -> np.ndarray:
+    return grid[:, :-1] << _U(21) | grid[:, 1:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = counts.value
-        for batch in batches:
-            places = [[p for _, _, p in heapq.nsmallest(3, ((frequency[w[k : k + 2]], w[k : k + 2], k) for k in range(len(w) - 1)))] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], ["word", "n", "places"])
 
-    return run
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, sizes, grid in _grids(batch.column(0)):
+            found, n = np.unique(_pairs(grid)[np.arange(1, grid.shape[1]) < sizes[:, None]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
 
 
-def _keys(word: Column, places: Column, shorter: int) -> Column:
-    """The join keys of a word in pairs whose shorter word is `shorter` letters shorter than it (0 or 1)."""
-    size = F.length(word) - shorter
+def _rarest(grid: np.ndarray, sizes: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where each word's three first bigrams of the global order begin; -1 for those that it lacks. order: pairs in ascending order, and their ranks."""
+    width, last = grid.shape[1], np.iinfo(np.int64).max
+    weight = np.full((len(grid), max(3, width - 1)), last, np.int64)
+    there = np.arange(1, width) < sizes[:, None]
+    weight[:, : width - 1][there] = order[1][np.searchsorted(order[0], _pairs(grid)[there])] * width + np.nonzero(there)[1]
+    first = np.partition(weight, 2, axis=1)[:, :3]
+    return np.where(first < last, first % width, -1)
 
-    def key(head: Column, tail: Column) -> Column:
-        return F.xxhash64(size, head, F.substring(word, F.lit(1), head), F.substring(word, F.length(word) - tail + 1, tail))
 
-    def at(place: Column) -> Column:
-        behind = size - place - 2  # letters of the shorter word behind the bigram; and, for an edit before it, from its begin on
-        tail = F.length(word) - place
-        before = size - tail
-        cut = lambda n, part: F.floor(n * part / PARTS).cast("int")
-        right = [F.when(behind >= 0, key(place + 2 + cut(behind, s), behind - cut(behind, s + 1))) for s in range(PARTS)]
-        left = [F.when(before >= 0, key(cut(before, s), before - cut(before, s + 1) + tail)) for s in range(PARTS)]
-        return F.array(*right, *left)
+def _keys(grid: np.ndarray, sizes: np.ndarray, places: np.ndarray, shorter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows): the distinct join keys of words in pairs whose shorter word is `shorter` letters shorter than they are (0 or 1).
 
-    return F.filter(F.array_distinct(F.flatten(F.transform(places, at))), lambda k: k.isNotNull())
+    A key hashes the shorter word's length, a prefix and a suffix; equal hashes only propose pairs.
+    """
+    rows, width = grid.shape
+    front, back = np.zeros((width + 1, rows), _U), np.zeros((width + 1, rows), _U)  # hashes of the prefixes and suffixes of each length
+    lines = np.arange(rows)
+    for k in range(width):
+        front[k + 1] = mix64(front[k] * _U(3) + grid[:, k] + _U(1))
+        back[k + 1] = mix64(back[k] * _U(5) + grid[lines, np.maximum(sizes - 1 - k, 0)] + _U(2))
+    line = np.repeat(lines, 3)
+    place, size = places.ravel(), (sizes - shorter)[line]
+    keys, owner = [], []
+
+    def add(good: np.ndarray, head: np.ndarray, tail: np.ndarray) -> None:
+        i = line[good]
+        keys.append(mix64(front[head[good], i] ^ mix64(back[tail[good], i] + size[good].astype(_U) * _U(0x9E3779B97F4A7C15) + head[good].astype(_U))))
+        owner.append(i)
+
+    behind = size - place - 2  # letters of the shorter word behind the bigram
+    tail = sizes[line] - place  # from the bigram on
+    before = size - tail
+    for part in range(PARTS):
+        good = (place >= 0) & (behind >= 0)
+        add(good, place + 2 + behind * part // PARTS, behind - behind * (part + 1) // PARTS)
+        good = (place >= 0) & (before >= 0)
+        add(good, before * part // PARTS, before - before * (part + 1) // PARTS + tail)
+    key, of = np.concatenate(keys), np.concatenate(owner)
+    by = np.lexsort((key, of))
+    key, of = key[by], of[by]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    return key[new], of[new]
+
+
+def _keyed(order, roles: tuple[int, ...]):
+    """(word, n) -> key, word, n, longer: a row for each key of each role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, sizes, grid in _grids(batch.column(0)):
+                places = _rarest(grid, sizes, order.value)
+                for role in roles:
+                    keys, of = _keys(grid, sizes, places, role)
+                    own = batch.take(pa.array(rows[of]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *own.columns, pa.array(np.full(len(keys), bool(role)))], ["key", "word", "n", "longer"])
+
+    return run
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """words (word, n), distinct words of two letters or more -> word, n, near, near_n: every pair that differs by one inserted, deleted or replaced code point, in both directions."""
     spark = words.sparkSession
     # Letters are fewer than 100, so there are fewer than 10,000 bigrams; any other alphabet is bounded by its square.
-    pairs = words.select("word").mapInArrow(_bigrams, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = spark.sparkContext.broadcast(dict(zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)))
-    rare = words.select("word", "n").mapInArrow(_rarest(counts), "word string, n long, places array<int>")
-    roles = F.array(*(F.struct(F.lit(bool(k)).alias("longer"), _keys(F.col("word"), F.col("places"), k).alias("keys")) for k in (0, 1)))
-    keyed = rare.select("word", "n", F.explode(roles).alias("r")).select("word", "n", "r.longer", F.explode("r.keys").alias("key"))
-    a = keyed.select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("longer").alias("a_longer"))
-    b = keyed.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("longer").alias("b_longer"))
-    meet = a.join(b, "key").where("not a_longer and (b_longer or a < b)").where(F.levenshtein("a", "b", 1) == 1)
+    pairs = words.select("word").mapInArrow(_bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    codes, counts = (pairs.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    rank = np.empty(len(codes), np.int64)
+    rank[np.lexsort((codes, counts))] = np.arange(len(codes))
+    by = np.argsort(codes)
+    order = spark.sparkContext.broadcast((codes[by].astype(_U), rank[by]))
+    side = lambda *roles: words.select("word", "n").mapInArrow(_keyed(order, roles), "key long, word string, n long, longer boolean")
+    a = side(0).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    b = side(0, 1).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("longer").alias("b_longer"))
+    meet = a.join(b, "key").where("b_longer or a < b").where(F.levenshtein("a", "b", 1) == 1)
     found = meet.select("a", "a_n", "b", "b_n").distinct()
     row = lambda x, y: F.struct(F.col(x).alias("word"), F.col(x + "_n").alias("n"), F.col(y).alias("near"), F.col(y + "_n").alias("near_n"))
     return found.select(F.explode(F.array(row("a", "b"), row("b", "a"))).alias("r")).select("r.*")
