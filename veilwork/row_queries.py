@@ -128,7 +128,7 @@ def person_tag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT c_custkey, 'K' || c_custkey AS k, (5 + c_custkey % 6) / 10.0::DOUBLE AS s FROM customer)
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 9 END AS start, 14 + length(k) AS "end", CASE WHEN c_custkey % 2 = 0 THEN 'detail' ELSE 'name' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'regex' ELSE 'ner' END AS layer,
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 9 END AS start, (14 + length(k))::INTEGER AS "end", CASE WHEN c_custkey % 2 = 0 THEN 'detail' ELSE 'name' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'regex' ELSE 'ner' END AS layer,
   CASE WHEN c_custkey % 2 = 0 THEN 0.9::DOUBLE ELSE least(0.8::DOUBLE, s) END AS confidence FROM c WHERE s >= 0.6
 UNION ALL SELECT c_custkey, 6, 12, 'detail', 'regex', 0.9::DOUBLE FROM c WHERE s < 0.6 AND c_custkey % 2 = 0""")
 def person_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
