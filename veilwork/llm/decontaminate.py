@@ -9,9 +9,12 @@ occurrences are located through sampled suffix positions, and their word spans a
 
 Documents never leave their task, so nothing is shuffled and no passage, however common, makes a hot
 key. Phrases are broadcast in blocks of about BLOCK_BYTES of benchmark text, PASS_BYTES at a time; each
-shard is searched for one block after another. A larger benchmark takes several passes: what a pass found is written
-beside the documents, its blocks are dropped, and the next pass goes on from there. So neither a worker nor
-the driver holds more than the phrases of PASS_BYTES of it (about 40 MB), whatever its size.
+shard is searched for one block after another. A larger benchmark takes several passes, which go over few documents only:
+the documents are read once, and a Bloom filter of FILTER_BITS over the word hashes of all phrases tells those that may hold
+a phrase from those that hold none. What a pass found is written beside the former, its blocks are dropped, and the next
+pass goes on from there. So neither a worker nor the driver holds more than the filter (16 MB) and the phrases of
+PASS_BYTES (about 40 MB), whatever the benchmark's size; a fuller filter lets more documents through to the search,
+which alone decides, and loses none.
 
 Defined cases: null and empty texts have no words and no hits; a text of any length is a shard of its own if it
 is larger than SHARD_BYTES; equal item ids are one item; a null item id is an item named `null`; an item without
@@ -22,7 +25,7 @@ empty tables give no rows; other columns are ignored or, in `keep_clean`, passed
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from .fm_index import FMIndex
 from .store import discard, written
 from .textkernel import ALNUM, LOWER, char_counts, gather, same_spans, span_hashes, span_ranks, sub_batches, text_buffers, word_bounds
 
-SHARD_BYTES, BLOCK_BYTES, PASS_BYTES = 6 << 20, 1 << 20, 4 << 20
+SHARD_BYTES, BLOCK_BYTES, PASS_BYTES, FILTER_BITS, PROBES = 6 << 20, 1 << 20, 4 << 20, 1 << 27, 3
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
 
 
@@ -103,6 +106,63 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int, pass_byte
     yield out
 
 
+class PhraseFilter:
+    """A Bloom filter over the phrases of a whole benchmark; a phrase is known by its words' hashes."""
+
+    def __init__(self, bits: int = FILTER_BITS) -> None:
+        self.bits, self.shift, self.lengths = np.zeros(bits // 8, np.uint8), np.uint64(64 - (bits.bit_length() - 1)), set()
+
+    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        """The bit of each key, for one probe after another."""
+        for _ in range(PROBES):
+            keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield (keys >> self.shift).astype(np.int64)
+
+    @staticmethod
+    def _stretches(hashes: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, a key for the stretch of that many words from each word on, as far as words go)."""
+        keys = np.zeros(len(hashes), np.uint64)
+        for n in range(1, min(max(lengths, default=0), len(hashes)) + 1):
+            keys = keys[: len(hashes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[n - 1 :]
+            if n in lengths:
+                yield n, keys
+
+    def add(self, texts: list[str | None], window: int) -> None:
+        *_, at, hashes = _words(pa.array(texts, pa.string()))
+        sizes = np.diff(at)
+        lengths = set(np.minimum(sizes[sizes > 0], window).tolist())
+        self.lengths |= lengths
+        for n, keys in self._stretches(hashes, lengths):
+            item = np.searchsorted(at, np.arange(len(keys)), "right") - 1
+            own = (np.arange(len(keys)) + n <= at[item + 1]) & (n == np.minimum(sizes[item], window))
+            for place in self._places(keys[own]):
+                np.bitwise_or.at(self.bits, place >> 3, np.left_shift(np.uint8(1), (place & 7).astype(np.uint8)))
+
+    def may_hold(self, column: pa.Array) -> np.ndarray:
+        """Whether each text may hold a phrase; never False for one that does."""
+        *_, at, hashes = _words(column)
+        begins = np.zeros(len(hashes), bool)
+        for _, keys in self._stretches(hashes, self.lengths):
+            left = np.arange(len(keys))
+            for place in self._places(keys):
+                left = left[(self.bits[place[left] >> 3] >> (place[left] & 7).astype(np.uint8)) & 1 == 1]
+            begins[left] = True
+        return np.diff(np.concatenate([[0], np.cumsum(begins)])[at]) > 0
+
+
+def phrase_filter(benchmark: DataFrame, window: int, block_bytes: int) -> PhraseFilter:
+    """The filter of all phrases, filled from about block_bytes of benchmark text at a time."""
+    out, texts, size = PhraseFilter(), [], 0
+    for row in benchmark.select("text").toLocalIterator():
+        texts.append(row[0])
+        size += len(row[0] or "")
+        if size >= block_bytes:
+            out.add(texts, window)
+            texts, size = [], 0
+    out.add(texts, window)
+    return out
+
+
 def _occurrences(phrases: Phrases, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, phrase) of each occurrence within the documents whose words begin at `at`."""
     none = np.zeros(0, np.int64)
@@ -181,13 +241,27 @@ def _found(column: pa.Array, blocks: list, share: int, earlier: tuple[pa.Array,
     }
 
 
+def _sifted(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The documents that may hold a phrase, and those that hold none; both read one written copy, so `docs` is computed once."""
+    told = docs.sparkSession.sparkContext.broadcast(phrase_filter(benchmark, window, block_bytes))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", SHARD_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told.value.may_hold(batch.column("text")))], [*batch.schema.names, "__maybe"])
+
+    rows = written(docs.mapInArrow(sift, docs.withColumn("__maybe", F.lit(True)).schema), "sifted")
+    told.unpersist()
+    return rows.where("__maybe").drop("__maybe"), rows.where("not __maybe").drop("__maybe")
+
+
 def _searched(docs: DataFrame, benchmark: DataFrame, window: int, share: int, block_bytes: int, pass_bytes: int, last) -> DataFrame:
     """`last` (batch, what was found) -> a batch, over the documents when all passes are made. docs has a column text."""
     passes = phrase_blocks(benchmark, window, block_bytes, pass_bytes)
     blocks = next(passes)
-    rows, columns, done = docs, docs.columns, []
+    rows, columns, clear, done = docs, docs.columns, None, []
     for following in passes:
-        if rows is docs:
+        if clear is None:
+            rows, clear = _sifted(docs, benchmark, window, block_bytes)
             rows = rows.withColumn("__hits", F.expr("cast(array() as array<struct<word: long, stop: long>>)")).withColumn("__items", F.expr("cast(array() as array<string>)"))
 
         def run(batches: Iterator[pa.RecordBatch], blocks: list = blocks) -> Iterator[pa.RecordBatch]:
@@ -201,12 +275,18 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, share: int, bl
         discard(*done)
         blocks, done = following, [rows]
 
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", SHARD_BYTES):
-            earlier = (batch.column("__hits"), batch.column("__items")) if "__hits" in batch.schema.names else None
-            yield last(batch, _found(batch.column("text"), blocks, share, earlier))
+    def end(blocks: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sub_batches(batches, "text", SHARD_BYTES):
+                earlier = (batch.column("__hits"), batch.column("__items")) if "__hits" in batch.schema.names else None
+                yield last(batch, _found(batch.column("text"), blocks, share, earlier))
+
+        return run
 
-    return rows.mapInArrow(end, docs.schema if last is _clean else RESULT)
+    out = rows.mapInArrow(end(blocks), docs.schema if last is _clean else RESULT)
+    if clear is None:
+        return out
+    return out.unionByName(clear if last is _clean else clear.mapInArrow(end([]), RESULT))
 
 
 def _clean(batch: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
