@@ -35,6 +35,28 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def with_cuts(text: Column, n: Column, use: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """use(cut), where cut(start, size) is that part of the text; n: how often it is about to be called.
+
+    Spark finds a place in a text by counting from its beginning. So the text is held in about sqrt(n) pieces, and a part is
+    counted from the beginning of its piece: n parts take sqrt(n) times the text, not n times.
+    """
+    many = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    width = F.greatest(F.lit(1), F.ceil(F.length(text) / many).cast("int"))
+
+    def pieces(width: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.substring(text, k * width + 1, width))
+
+        def cut(held: Column, start: Column, size: Column) -> Column:
+            first = F.floor(start / width).cast("int")
+            last = F.floor((start + size) / width).cast("int")
+            return F.substring(F.array_join(F.slice(held, first + 1, last - first + 1), ""), (start - first * width + 1).cast("int"), size.cast("int"))
+
+        return bound(own, lambda held: use(lambda start, size: cut(held, start, size)))
+
+    return bound(width, pieces)
+
+
 @functools.cache
 def _plain_letters() -> tuple[str, str]:
     """Characters whose canonical decomposition is one character and marks of U+0300..U+036F, and those characters."""

@@ -39,19 +39,23 @@ def matches(text: Column, pattern: str, group: int = 0, trim: Callable[[Column],
     marked = F.regexp_replace(F.translate(text, BEGIN + GROUP + STOP, STAND_IN * 3), F.lit(pattern), F.lit(f"{BEGIN}$0{GROUP}{f'${group}' if group else ''}{STOP}"))
 
     def step(done: Column, x: Column) -> Column:
-        """x: match, mark, group, mark, the gap behind it."""
-        found = F.struct(done["at"].alias("at"), F.substring_index(x, GROUP, 1).alias("m"), F.substring_index(F.substring_index(x, STOP, 1), GROUP, -1).alias("g"))
-        after = F.length(x) - F.length(found["g"]) - 2
-        return F.struct((done["at"] + after).alias("at"), F.concat(done["out"], F.array(found)).alias("out"))
+        """x: match, mark, group, mark, the gap behind it. Places are folded into a text, which grows by copying one block."""
+        return F.struct((done["at"] + F.length(x) - F.length(of_group(x)) - 2).alias("at"), F.concat(done["out"], done["at"].cast("string"), F.lit(",")).alias("out"))
+
+    def of_group(x: Column) -> Column:
+        return F.substring_index(F.substring_index(x, STOP, 1), GROUP, -1)
 
     def placed(parts: Column) -> Column:
-        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none_found(PLACED).alias("out"))
-        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"]
+        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.lit("").alias("out"))
+        places = F.split(F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"], ",")
+        found = F.zip_with(places, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda at, x: F.struct(at.alias("at"), F.substring_index(x, GROUP, 1).alias("m"), of_group(x).alias("g")))
+        return F.filter(found, lambda x: x["m"].isNotNull()).cast(PLACED)
 
     def cut(x: Column) -> Column:
         """The span of a match's value, as it stands in the text."""
         begin = x["at"] + (last_place(x["m"], x["g"]) if group else F.lit(0))
-        value = F.substring(text, begin + 1, F.length(x["g"] if group else x["m"]))
+        seen = x["g"] if group else x["m"]
+        value = F.when(seen.contains(STAND_IN), F.substring(text, begin + 1, F.length(seen))).otherwise(seen)
         return bound(trim(value) if trim else value, lambda v: F.struct(begin.alias("start"), (begin + F.length(v)).alias("end"), v.alias("value")))
 
     spans = F.filter(F.transform(bound(F.split(marked, BEGIN), placed), cut), lambda s: (F.length(s["value"]) > 0) & (F.coalesce(test(s["value"]), F.lit(False)) if test else F.lit(True)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.textops import EDGE
+from ..functions.textops import EDGE, bound, with_cuts
 from .spans import merge_confirmed, merge_ranges
 
 # Marker, labels, token shapes and reasons.
@@ -25,9 +27,12 @@ MALFORMED = "Malformed placeholder; left unchanged"
 def substitute(text: Column, spans: Column, mark) -> Column:
     """The text with each of its ascending, disjoint spans replaced by mark(span)."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda d, s: F.struct(F.concat(d["out"], F.substring(text, d["at"] + 1, s["start"] - d["at"]), mark(s)).alias("out"), s["end"].alias("at"))
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+    def done(spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        step = lambda d, s: F.struct(F.concat(d["out"], cut(d["at"], s["start"] - d["at"]), mark(s)).alias("out"), s["end"].alias("at"))
+        return F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+
+    return bound(spans, lambda own: with_cuts(text, F.size(own), lambda cut: done(own, cut)))
 
 
 def redact(text: Column, spans: Column) -> Column:
