@@ -68,14 +68,14 @@ def code_table(text: Column, spans: Column) -> Column:
     """array<struct<original, pseudonym, type, ord>> of a document that is its own session, in order of first occurrence."""
     text = F.coalesce(text, F.lit(""))
     found = F.transform(merge_confirmed(text, spans), lambda s: F.struct(s["type"].alias("type"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("original")))
-    values, reserved = F.array_distinct(found), reserved_tokens(text)
 
-    def entry(v: Column, i: Column) -> Column:
+    def entry(values: Column, reserved: Column, v: Column, i: Column) -> Column:
         k = F.size(F.filter(F.slice(values, F.lit(1), i + 1), lambda x: x["type"] == v["type"]))
         label = label_of(v["type"])
         return F.struct(v["original"].alias("original"), token(label, free_number(label, k, reserved)).alias("pseudonym"), v["type"].alias("type"), (i + 1).alias("ord"))
 
-    return F.transform(values, entry)
+    held = F.struct(F.array_distinct(found).alias("values"), reserved_tokens(text).alias("reserved"))
+    return bound(held, lambda h: F.transform(h["values"], lambda v, i: entry(h["values"], h["reserved"], v, i)))
 
 
 def anonymize(text: Column, spans: Column, codes: Column) -> Column:

@@ -21,7 +21,7 @@ from .operators.review import prompt, request_text, reviewed
 from .operators.spans import known_type
 from .plans.rules import regex_candidates
 from .queries import ORACLES, QUERIES, REPORTED, query, rule_rows
-from .session import shared_dir, table
+from .session import dealt, shared_dir, table
 from .sources.delimited import name_records
 from .sources.files import decode_plain, extract_files, read_files
 from .streaming.stream import redact_folder
@@ -223,7 +223,7 @@ UNION ALL SELECT c_custkey, 'c' || c_custkey || '@b.de', '[[EMAIL_00' || CASE WH
 def reserved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text holds what looks like one of the codes; its number is left out."""
     k = F.col("c_custkey").cast("string")
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("[[email_00"), (F.col("c_custkey") % 3 + 1).cast("string"), F.lit("]] a"), k, F.lit("@b.de c"), k, F.lit("@b.de")).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("[[email_00"), (F.col("c_custkey") % 3 + 1).cast("string"), F.lit("]] a"), k, F.lit("@b.de c"), k, F.lit("@b.de")).alias("text"))
     codes = docs.select("c_custkey", F.explode_outer(code_table(F.col("text"), regex_candidates(F.col("text"), ["email"]))).alias("c"))
     return codes.select("c_custkey", "c.original", "c.pseudonym")
 

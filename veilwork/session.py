@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+# Rows of a task, and tasks, of a table that is dealt out.
+TASK_ROWS, MOST_TASKS = 10_000, 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,3 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of few bytes whose rows are much work, dealt by its key over tasks of about `TASK_ROWS` rows.
+
+    Spark sizes tasks by bytes, so 100,000 such rows are one task's, and no row group is shared between tasks. The rows are counted
+    from the files' footers.
+    """
+    rows = table(spark, sf_dir, name)
+    tasks = min(MOST_TASKS, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, key) if tasks > 1 else rows
