@@ -14,7 +14,7 @@ def customers(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["reserved_codes"])
+@pytest.mark.parametrize("name", ["reserved_codes", "id_columns"])
 def test_rows_are_dealt(spark, customers, name):
     found = queries()[name](spark, customers)
     tasks = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("c_custkey").alias("n")).collect()

@@ -87,7 +87,7 @@ _QUOTED = "'\"' || c_name || ', jr\";'"
 @query(f"""SELECT c_custkey, length('Name;Student-ID') + 1 + length({_QUOTED}) AS start, length('Name;Student-ID') + 1 + length({_QUOTED}) + 7 AS "end", 'S' || {_SIX} AS value, 'detail' AS type FROM customer""")
 def id_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell before the number is quoted and holds a comma."""
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'Name;Student-ID' || chr(10) || {_QUOTED} || 'S' || {_SIX}").alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.expr(f"'Name;Student-ID' || chr(10) || {_QUOTED} || 'S' || {_SIX}").alias("text"))
     return long_spans(detect(docs), "c_custkey").where("type = 'detail'").select("c_custkey", *REPORTED)
 
 
