@@ -14,8 +14,9 @@ def customers(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["reserved_codes", "id_columns"])
+@pytest.mark.parametrize("name", ["reserved_codes", "id_columns", "dob_columns"])
 def test_rows_are_dealt(spark, customers, name):
     found = queries()[name](spark, customers)
     tasks = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("c_custkey").alias("n")).collect()
-    assert len(tasks) == 3 and sum(t.n for t in tasks) == 25_000 and max(t.n for t in tasks) < 10_000
+    least = 24_000 if name == "dob_columns" else 25_000  # some of the days do not exist
+    assert len(tasks) == 3 and least <= sum(t.n for t in tasks) <= 25_000 and max(t.n for t in tasks) < 10_000

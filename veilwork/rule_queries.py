@@ -77,7 +77,7 @@ _CELL = "c_name || ','"
 WHERE c_custkey % 31 + 1 <= day(last_day(make_date(1999, (c_custkey % 12 + 1)::INTEGER, 1))) OR c_custkey % 31 + 1 <= 12""")
 def dob_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of one row for each customer, with days up to 31 in every month."""
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'Name,Date of Birth' || chr(10) || {_CELL} || {_DOB}").alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.expr(f"'Name,Date of Birth' || chr(10) || {_CELL} || {_DOB}").alias("text"))
     return long_spans(detect(docs), "c_custkey").where("type = 'date'").select("c_custkey", *REPORTED)
 
 
