@@ -211,7 +211,7 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder, redacted by a stream into another folder."""
     path = f"{shared_dir(spark)}/veilwork/stream-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("mail a"), F.col("c_custkey").cast("string"), F.lit("@b.de, or not")).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("mail a"), F.col("c_custkey").cast("string"), F.lit("@b.de, or not")).alias("text"))
     docs.write.parquet(f"{path}/in")
     redact_folder(spark, "c_custkey long, text string", f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out")
