@@ -201,7 +201,7 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package of one of four kinds for each customer, a broken one and a file of another kind."""
     pack = F.udf(_package, "binary")  # makes the fixture; what is queried runs on its bytes
     kind = F.get(F.array(*map(F.lit, (*PACKAGES, "odt", "exe"))), (F.col("c_custkey") % 6).cast("int"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), pack(kind, F.col("c_name")).alias("content"))
+    rows = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", kind.alias("kind"), pack(kind, F.col("c_name")).alias("content"))
     files = rows.select(F.concat(F.lit("/in/f"), F.col("c_custkey").cast("string"), F.lit("."), "kind").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
     found = extract_files(files)
     return found.select(F.regexp_extract("path", "/f([0-9]+)", 1).cast("long").alias("c_custkey"), "text", "counts.comments", "counts.slides", "counts.hidden", F.array_join("warnings", ",").alias("warnings"), "error_code")
