@@ -14,7 +14,7 @@ def customers(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["reserved_codes", "id_columns", "dob_columns", "streamed_redactions", "office_files"])
+@pytest.mark.parametrize("name", ["reserved_codes", "id_columns", "dob_columns", "streamed_redactions", "office_files", "american_phones", "labelled_ids"])
 def test_rows_are_dealt(spark, customers, name):
     found = queries()[name](spark, customers)
     task = F.input_file_name() if name == "streamed_redactions" else F.spark_partition_id()  # a stream's task writes a file

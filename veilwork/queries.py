@@ -21,7 +21,7 @@ from .operators.replace import MALFORMED, MISSING, UNKNOWN, anonymize, code_tabl
 from .operators.sessions import session_codes
 from .operators.spans import apply_manual, merge_confirmed, merge_ranges, resolve_overlaps
 from .plans.rules import regex_candidates
-from .session import table
+from .session import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,7 +109,7 @@ def _zeros(column: str, n: int) -> Column:
 @query(_made("'Pupil ' || o_orderkey || ', geboortedatum: '", "strftime(o_orderdate, '%d/%m/%y')", "date", "o_orderkey", "orders"))
 def dob_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Pupil "), F.col("o_orderkey"), F.lit(", geboortedatum: "), F.date_format("o_orderdate", "dd/MM/yy"), F.lit(" in class"))
-    return rule_rows(table(spark, sf_dir, "orders"), "o_orderkey", text, "date_dob_label")
+    return rule_rows(dealt(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", text, "date_dob_label")
 
 
 _DAY = "(o_orderkey % 32 + 1)"
@@ -121,13 +121,13 @@ def numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days run from 1 to 32, so some dates do not exist."""
     day = F.lpad((F.col("o_orderkey") % 32 + 1).cast("string"), 2, "0")
     text = F.concat(F.lit("Order of "), day, F.lit("-"), F.date_format("o_orderdate", "MM-yyyy"), F.lit(" came late"))
-    return rule_rows(table(spark, sf_dir, "orders"), "o_orderkey", text, "date_numeric")
+    return rule_rows(dealt(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", text, "date_numeric")
 
 
 @query(_made("'On '", "CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%-d %B %Y') ELSE strftime(o_orderdate, '%b. %-d, %Y') END", "date", "o_orderkey", "orders"))
 def month_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "MMM. d, yyyy"))
-    return rule_rows(table(spark, sf_dir, "orders"), "o_orderkey", F.concat(F.lit("On "), when, F.lit(" we met.")), "date_dmy_text", "date_mdy_text")
+    return rule_rows(dealt(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", F.concat(F.lit("On "), when, F.lit(" we met.")), "date_dmy_text", "date_mdy_text")
 
 
 _NINE = "lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0')"
@@ -137,7 +137,7 @@ _ELEVEN = " + ".join(f"substr({_NINE}, {k}, 1)::INTEGER * {10 - k}" for k in ran
 @query(_made("'BSN is: '", _NINE, "bsn", "c_custkey", "customer", f"({_ELEVEN}) % 11 = 0 AND {_NINE} <> '000000000'"))
 def bsn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nine = F.lpad((F.col("c_custkey") * 7919 % 1000000000).cast("string"), 9, "0")
-    return rule_rows(table(spark, sf_dir, "customer"), "c_custkey", F.concat(F.lit("BSN is: "), nine, F.lit(".")), "bsn_label")
+    return rule_rows(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", F.concat(F.lit("BSN is: "), nine, F.lit(".")), "bsn_label")
 
 
 _IBAN = "'nl' || lpad((s_suppkey % 97)::VARCHAR, 2, '0') || CASE WHEN s_suppkey % 2 = 0 THEN ' ABNA ' ELSE 'ABNA' END || lpad(s_suppkey::VARCHAR, 10, '0')"
@@ -148,7 +148,7 @@ def ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trailing digits do not belong to an IBAN of this country's length."""
     bank = F.when(F.col("s_suppkey") % 2 == 0, " ABNA ").otherwise("ABNA")
     value = F.concat(F.lit("nl"), F.lpad((F.col("s_suppkey") % 97).cast("string"), 2, "0"), bank, _zeros("s_suppkey", 10))
-    return rule_rows(table(spark, sf_dir, "supplier"), "s_suppkey", F.concat(F.lit("pay to "), value, F.lit(" 77 now")), "iban")
+    return rule_rows(dealt(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", F.concat(F.lit("pay to "), value, F.lit(" 77 now")), "iban")
 
 
 @query(" UNION ALL ".join([
@@ -158,14 +158,14 @@ def ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def addresses_and_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("Lives at "), (k % 90 + 1).cast("string"), F.lit(" Old Oak Lane, "), (F.lit(1000) + k % 9000).cast("string"), F.lit(" "), F.chr(F.lit(65) + F.col("c_nationkey")), F.lit("B."))
-    return rule_rows(table(spark, sf_dir, "customer"), "c_custkey", text, "addr_num_first", "postcode_nl")
+    return rule_rows(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", text, "addr_num_first", "postcode_nl")
 
 
 @query(_made("'see '", "'kerkstraat ' || (c_custkey % 300 + 1) || CASE WHEN c_custkey % 3 = 0 THEN '-A' ELSE '' END", "address", "c_custkey", "customer"))
 def dutch_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("see "), F.lit("kerkstraat "), (k % 300 + 1).cast("string"), F.when(k % 3 == 0, "-A").otherwise(""), F.lit(", please"))
-    return rule_rows(table(spark, sf_dir, "customer"), "c_custkey", text, "addr_nl_compound")
+    return rule_rows(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", text, "addr_nl_compound")
 
 
 @query(" UNION ALL ".join([
@@ -175,7 +175,7 @@ def dutch_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filenames_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("Open part_"), k, F.lit('.pdf in "C:\\own files\\'), k, F.lit('" now'))
-    return rule_rows(table(spark, sf_dir, "part"), "p_partkey", text, "filename_token", "path_dquote")
+    return rule_rows(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", text, "filename_token", "path_dquote")
 
 
 @query(" UNION ALL ".join([
@@ -184,13 +184,13 @@ def filenames_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 ]))
 def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("student no: AB"), _zeros("c_custkey", 6), F.lit("; passport #X"), _zeros("c_custkey", 8), F.lit(";"))
-    return rule_rows(table(spark, sf_dir, "customer"), "c_custkey", text, "id_student", "id_staff")
+    return rule_rows(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", text, "id_student", "id_staff")
 
 
 @query("SELECT c_custkey, 3 AS start, (3 + length(v))::INTEGER AS \"end\", v AS value, 'ip' AS type FROM (SELECT c_custkey, 'fe80::' || lower(to_hex(c_custkey % 65536)) AS v FROM customer)")
 def ipv6_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("at fe80::"), F.lower(F.hex(F.col("c_custkey") % 65536)), F.lit(" up"))
-    return rule_rows(table(spark, sf_dir, "customer"), "c_custkey", text, "ipv6")
+    return rule_rows(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", text, "ipv6")
 
 
 @query("""
@@ -241,7 +241,7 @@ def list_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.initcap(F.get(given, (F.col("c_custkey") % len(SEED_GIVEN)).cast("int")))
     b = F.initcap(F.get(family, (F.col("c_nationkey") % len(SEED_FAMILY)).cast("int")))
     name = F.when(F.col("c_custkey") % 3 == 0, F.concat(a, F.lit(" van der "), b)).when(F.col("c_custkey") % 3 == 1, F.concat(a, F.lit(" "), b)).otherwise(F.concat(b, F.lit(", "), a))
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("and "), name, F.lit(" spoke")).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("and "), name, F.lit(" spoke")).alias("text"))
     return long_spans(detect(docs, lists=NameLists(SEED_GIVEN, SEED_FAMILY), columns=False), "c_custkey").where("type = 'name'")
 
 
@@ -252,7 +252,7 @@ SELECT c_custkey, 3 AS start, (3 + length(value))::INTEGER AS "end", value, 'nam
 def custom_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 4
     said = F.when(k == 0, "zóe müller").when(k == 1, "MULLER Zoe").when(k == 2, "zoe").otherwise("mullerzoe")
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("to "), said, F.lit("!")).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("to "), said, F.lit("!")).alias("text"))
     return long_spans(detect(docs, lists=NameLists(custom=[("Zoë", "Müller")]), columns=False), "c_custkey")
 
 

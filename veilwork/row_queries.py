@@ -18,7 +18,7 @@ from .operators.review import reviewed
 from .operators.sessions import session_codes
 from .plans.rules import regex_candidates
 from .queries import _EMAIL, _FULL_ORDER, _IPV4, _RAW, _SPAN, _islands, _raw_spans, duck_matches, query
-from .session import shared_dir, table
+from .session import dealt, shared_dir, table
 from .streaming.mapper import STORE, map_sessions
 
 
@@ -63,7 +63,7 @@ def session_reserved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each nation; every seventh customer's text holds what looks like one of the codes."""
     k = F.col("c_custkey").cast("string")
     held = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(" [[eMail_"), F.lpad((F.col("c_custkey") % 40 + 1).cast("string"), 3, "0"), F.lit("]] [[email_1]]"))).otherwise("")
-    docs = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("to a"), k, F.lit("@b.de"), held).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", "c_nationkey", F.concat(F.lit("to a"), k, F.lit("@b.de"), held).alias("text"))
     return session_codes(docs.withColumn("spans", regex_candidates(F.col("text"), ["email"])), "c_nationkey", "c_custkey")
 
 

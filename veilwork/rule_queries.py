@@ -59,7 +59,7 @@ def _made(name: str) -> None:
     rule, source, key, before, value, after, kind, valid = MADE[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rule_rows(table(spark, sf_dir, source), key, F.expr(f"{before} || {value} || {after}"), rule)
+        return rule_rows(dealt(spark, sf_dir, source, key), key, F.expr(f"{before} || {value} || {after}"), rule)
 
     run.__name__, run.__doc__ = name, f"The rule `{rule}` on texts made from {source}."
     QUERIES[name] = run
@@ -101,7 +101,7 @@ def family_names_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A family name by itself counts from four letters on; `ito` does not."""
     low = F.get(F.array(*map(F.lit, SEED_FAMILY)), (F.col("c_custkey") % len(SEED_FAMILY)).cast("int"))
     name = F.when(F.col("c_custkey") % 3 == 0, F.upper(low)).otherwise(F.initcap(low))
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("we saw that "), name, F.lit(" had left")).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("we saw that "), name, F.lit(" had left")).alias("text"))
     return long_spans(detect(docs, lists=NameLists(family=SEED_FAMILY), columns=False), "c_custkey").where("type = 'name'")
 
 
@@ -112,7 +112,7 @@ _LIST = f"'Klas 3' || {_LF} || 'Achternaam;Tussenvoegsel;Voornaam' || {_LF} || '
 UNION ALL SELECT c_custkey, 'A "B"', c_name, NULL FROM customer""")
 def name_list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists with a title row, a header in another order, prefixes, quoted cells, empty and repeated rows."""
-    return name_records(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LIST).alias("text")), "c_custkey")
+    return name_records(dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.expr(_LIST).alias("text")), "c_custkey")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE c_name || ' é漢😀' END AS text FROM customer""")
@@ -143,7 +143,7 @@ SELECT c_custkey, 'Personal details were taken out of the text below and [REMOVE
   || 'mail ' || CASE WHEN c_custkey % 3 = 1 THEN mail ELSE '[REMOVED]' END || ' or ' || CASE WHEN c_custkey % 3 = 2 THEN ip ELSE '[REMOVED]' END || ', ask ' || CASE WHEN c_custkey % 2 = 0 THEN '[REMOVED]' ELSE 'Bo Smit' END AS prompt FROM t""")
 def reviewed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions reject the address of every third customer and the number of another third; every other customer has a manual term."""
-    docs = table(spark, sf_dir, "customer").select("c_custkey", request_text(F.lit(" Sum it up "), F.expr(_SAID.replace("c_custkey ||", "CAST(c_custkey AS STRING) ||").replace("(c_custkey % 250)", "CAST(c_custkey % 250 AS STRING)"))).alias("text"))
+    docs = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", request_text(F.lit(" Sum it up "), F.expr(_SAID.replace("c_custkey ||", "CAST(c_custkey AS STRING) ||").replace("(c_custkey % 250)", "CAST(c_custkey % 250 AS STRING)"))).alias("text"))
     spans = long_spans(docs, "c_custkey", spans=regex_candidates(F.col("text"), ["email", "ipv4"]))
     away = F.when(F.col("type") == "email", F.col("c_custkey") % 3 == 1).otherwise(F.col("c_custkey") % 3 == 2)
     decisions = spans.select("c_custkey", "start", "end", (~away).alias("confirmed")).where("not confirmed or c_custkey % 5 = 0")
